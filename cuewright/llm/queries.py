@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from cuewright.llm.leaks import leaks
 from cuewright.llm.lookalike import consistent_form, same_look_pairs
+from cuewright.llm.pairs import judged_pairs, reply_pairs
 from cuewright.llm.repetition import repetition
+from cuewright.llm.split import split_oversized
 from cuewright.operators.keys import once
 from cuewright.plans.tables import table
 
@@ -24,6 +26,32 @@ def p2_shares(spark, d):
     return repetition(once(table(spark, d, "segments"), SEG, ["text"])).select(*SEG, "letters", "repeated_letters", "repeated_share")
 
 
+def p4_found(spark, d):
+    """Segments that the splitting operator had to cut up."""
+    s = once(table(spark, d, "segments"), SEG, ["text", "start", "end"])
+    return split_oversized(s, SEG).select(*SEG).distinct()
+
+
+def p4_pieces(spark, d):
+    """The pieces of oversized segments, cut between words, with word times and an overlap of two words."""
+    s = once(table(spark, d, "segments"), SEG, ["text", "start", "end"])
+    w = once(table(spark, d, "words"), ["media_id", "take_no", "idx"], ["seg_idx", "start", "end", "text"])
+    return split_oversized(s, SEG, w.withColumnRenamed("seg_idx", "seg_no"), overlap=2)
+
+
+def p5_found(spark, d):
+    pairs = reply_pairs(table(spark, d, "parsed"), table(spark, d, "segments"))
+    return judged_pairs(pairs, SEG).where("defect is not null").select(*SEG, "defect")
+
+
+def p5_by_target(spark, d):
+    """Per language asked for: replies and how many of them have each defect."""
+    pairs = reply_pairs(table(spark, d, "parsed"), table(spark, d, "segments"))
+    kinds = ["empty", "refusal", "copy", "wrong_lang", "truncated"]
+    j = judged_pairs(pairs, SEG)
+    return j.groupBy("target").agg(F.count("*").alias("replies"), *[F.count(F.when(F.col("defect") == k, 1)).alias(k) for k in kinds])
+
+
 def p6_found(spark, d):
     c = once(table(spark, d, "cues"), ["cue_id"], ["text"])
     return same_look_pairs(c, "cue_id").select(F.col("a").alias("cue_a"), F.col("b").alias("cue_b"))
@@ -47,9 +75,20 @@ def p9_spans(spark, d):
 QUERIES = {
     "p2_found": p2_found,
     "p2_shares": p2_shares,
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
+    "p5_found": p5_found,
+    "p5_by_target": p5_by_target,
     "p6_found": p6_found,
     "p6_consistent": p6_consistent,
     "p9_found": p9_found,
     "p9_spans": p9_spans,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p4_found": """
+with s as (
+  select media_id, take_no, seg_no, min(struct_pack(l := loaded_at, t := text, s := "start", e := "end")) as r from segments group by all)
+select media_id, take_no, seg_no from s
+where length(r.t) > 120 or len(list_filter(string_split(r.t, ' '), lambda w: w <> '')) > 30
+   or cast(round(r.e * 1000) as bigint) - cast(round(r.s * 1000) as bigint) > 9000""",
+}

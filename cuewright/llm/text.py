@@ -37,7 +37,7 @@ TO_CYRILLIC = {ord(k): v for k, v in CYRILLIC.items()} | {ord(o): CYRILLIC[k] fo
 TO_GREEK = {ord(k): v for k, v in GREEK.items()} | {ord(o): GREEK[k] for k, os in LOOKALIKES.items() if k in GREEK for o in os}
 LOOKALIKE_RE = regex.compile("[" + "".join(LOOKALIKES) + "".join(LOOKALIKES.values()) + "]")
 LATIN_RE, CYRILLIC_RE, GREEK_RE = (regex.compile(rf"\p{{{s}}}") for s in ("Latin", "Cyrillic", "Greek"))
-OTHER_LOOKALIKE_RE = regex.compile("[" + "".join(LOOKALIKES.values()) + "]")
+TWO_SCRIPTS_RE = regex.compile(r"[\p{Cyrillic}\p{Greek}\p{Armenian}" + "".join(LOOKALIKES.values()) + "]")
 
 
 def forms(text: str) -> str:
@@ -89,7 +89,7 @@ def consistent(text: str) -> str:
     of its letters that have no twin.
     """
     t = forms(text).strip()
-    if t.isascii() or not OTHER_LOOKALIKE_RE.search(t):
+    if t.isascii() or not TWO_SCRIPTS_RE.search(t):
         return t
     tokens = regex.split(r"([\p{L}\p{M}]+)", unicodedata.normalize("NFC", t))
     votes = {"Latin": 0, "Cyrillic": 0, "Greek": 0}
