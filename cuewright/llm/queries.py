@@ -9,6 +9,7 @@ from cuewright.llm.lookalike import consistent_form, same_look_pairs
 from cuewright.llm.pairs import judged_pairs, reply_pairs
 from cuewright.llm.repetition import repetition
 from cuewright.llm.split import split_oversized
+from cuewright.llm.truncation import truncated
 from cuewright.operators.keys import once
 from cuewright.plans.tables import table
 
@@ -72,6 +73,16 @@ def p9_spans(spark, d):
     return leaks(table(spark, d, "documents"), table(spark, d, "heldout"))
 
 
+def p10_found(spark, d):
+    return truncated(table(spark, d, "documents"), ["doc_id"]).where("cut").select("doc_id").distinct()
+
+
+def p10_by_source(spark, d):
+    """Per source: its documents and how many of them were cut off."""
+    t = truncated(table(spark, d, "documents"), ["doc_id", "source"])
+    return t.groupBy("source").agg(F.count("*").alias("documents"), F.count(F.when(F.col("cut"), 1)).alias("cut"), F.round(F.avg(F.col("cut").cast("double")), 4).alias("share"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_shares": p2_shares,
@@ -83,6 +94,8 @@ QUERIES = {
     "p6_consistent": p6_consistent,
     "p9_found": p9_found,
     "p9_spans": p9_spans,
+    "p10_found": p10_found,
+    "p10_by_source": p10_by_source,
 }
 ORACLE: dict[str, str] = {
     "p4_found": """
