@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TAKE = ["media_id", "take_no"]
@@ -72,3 +73,20 @@ def spread_over_blocks(per_source: DataFrame, first_pos: str, last_pos: str, siz
     """
     lo, hi = (F.floor(F.col(p) / F.lit(size)).cast("long") for p in (first_pos, last_pos))
     return per_source.withColumn("block", F.explode(F.sequence(lo, hi)))
+
+
+def carried(df: DataFrame, keys: list[str], block: str, value: str, fan: int = 1024) -> DataFrame:
+    """Adds `carried`: the value of the nearest earlier block of the same source that has one.
+
+    df holds one row per source and block. Windows run over groups of `fan` blocks, then over the groups,
+    so that no window holds more than `fan` blocks or one row per group of a source.
+    """
+    group = F.floor(F.col(block) / F.lit(fan)).cast("long")
+    df = df.withColumn("_group", group)
+    w = W.partitionBy(*keys, "_group").orderBy(block).rowsBetween(W.unboundedPreceding, -1)
+    near = df.withColumn("_near", F.last(value, ignorenulls=True).over(w))
+    last = df.where(F.col(value).isNotNull()).groupBy(*keys, "_group").agg(F.max_by(value, block).alias("_last"))
+    everyone = join_on(df.select(*keys, "_group").distinct(), last, [*keys, "_group"], "left")
+    far = W.partitionBy(*keys).orderBy("_group").rowsBetween(W.unboundedPreceding, -1)
+    everyone = everyone.select(*keys, "_group", F.last("_last", ignorenulls=True).over(far).alias("_far"))
+    return join_on(near, everyone, [*keys, "_group"], "left").withColumn("carried", F.coalesce("_near", "_far")).drop("_near", "_far", "_group")
