@@ -8,6 +8,7 @@ from cuewright.llm.leaks import leaks
 from cuewright.llm.lookalike import consistent_form, same_look_pairs
 from cuewright.llm.pairs import judged_pairs, reply_pairs
 from cuewright.llm.repetition import repetition
+from cuewright.llm.sentences import sentence_units
 from cuewright.llm.split import split_oversized
 from cuewright.llm.truncation import truncated
 from cuewright.operators.keys import once
@@ -16,6 +17,17 @@ from cuewright.plans.tables import table
 SEG = ["media_id", "take_no", "seg_no"]
 
 
+def p1_found(spark, d):
+    return sentence_units(table(spark, d, "words"))
+
+
+def p1_lengths(spark, d):
+    """Per take: its sentence units and their mean length in words."""
+    u = sentence_units(table(spark, d, "words"))
+    words = F.col("last_idx") - F.col("first_idx") + 1
+    return u.groupBy("media_id", "take_no").agg(F.count("*").alias("units"), F.round(F.avg(words), 4).alias("mean_words"), F.max(words).alias("longest"))
+
+
 def p2_found(spark, d):
     """Segments of which more than half the letters repeat earlier wording."""
     s = once(table(spark, d, "segments"), SEG, ["text"])
@@ -84,6 +96,8 @@ def p10_by_source(spark, d):
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_lengths": p1_lengths,
     "p2_found": p2_found,
     "p2_shares": p2_shares,
     "p4_found": p4_found,
