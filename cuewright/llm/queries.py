@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cuewright.llm.leaks import leaks
 from cuewright.llm.lookalike import consistent_form, same_look_pairs
+from cuewright.llm.packing import pack
 from cuewright.llm.pairs import judged_pairs, reply_pairs
 from cuewright.llm.repetition import repetition
 from cuewright.llm.sentences import sentence_units
@@ -76,6 +77,17 @@ def p6_consistent(spark, d):
     return consistent_form(c).select("cue_id", "consistent", F.hex("look").alias("look"))
 
 
+def p8_pack(spark, d):
+    """Every document's place in containers of 2048 tokens."""
+    return pack(table(spark, d, "documents"), "doc_id")
+
+
+def p8_fill(spark, d):
+    """How many containers are filled to which degree."""
+    b = pack(table(spark, d, "documents"), "doc_id").where("bin is not null").groupBy("bin").agg(F.sum("tokens").alias("used"), F.count("*").alias("pieces"))
+    return b.groupBy("used").agg(F.count("*").alias("containers"), F.sum("pieces").alias("pieces"))
+
+
 def p9_found(spark, d):
     return leaks(table(spark, d, "documents"), table(spark, d, "heldout")).select("doc_id", "item_id").distinct()
 
@@ -106,6 +118,8 @@ QUERIES = {
     "p5_by_target": p5_by_target,
     "p6_found": p6_found,
     "p6_consistent": p6_consistent,
+    "p8_pack": p8_pack,
+    "p8_fill": p8_fill,
     "p9_found": p9_found,
     "p9_spans": p9_spans,
     "p10_found": p10_found,
