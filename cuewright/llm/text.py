@@ -122,9 +122,12 @@ NUMBER_LINE_RE = regex.compile(r"(?m)^[ \t]*(?:\[?\d+\]?|#\d+)[ \t]*\r?$")
 LINE_NUMBER_RE = regex.compile(r"(?m)^[ \t]*(?:\[\d+(?:-\d+)?\]|#?\d+[.:)\]](?=\s))[ \t]*")
 
 
+DIGIT_RE = regex.compile(r"\d")
+
+
 def without_structure(text: str) -> str:
     """Text without subtitle numbers, timecodes and line numbers."""
-    if not regex.search(r"\d", text):
+    if not DIGIT_RE.search(text):
         return text
     t = NUMBER_LINE_RE.sub("", TIMECODE_RE.sub("", text))
     return LINE_NUMBER_RE.sub("", t)
