@@ -41,3 +41,17 @@ def cut(df: DataFrame) -> DataFrame:
             folder = os.path.join(tempfile.gettempdir(), f"cuewright-{os.getpid()}")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes sure Python workers can import this package: sends it along unless they find it by PYTHONPATH or folder."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    seen = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    sc = spark.sparkContext
+    if root in seen or os.path.abspath(os.getcwd()) == root or getattr(sc, "_cuewright_shipped", False):
+        return
+    import shutil
+
+    folder = tempfile.mkdtemp(prefix="cuewright-code-")  # of the driver; Spark's file server hands it to executors
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "cuewright"), "zip", root, "cuewright"))
+    sc._cuewright_shipped = True

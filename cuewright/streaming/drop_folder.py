@@ -48,7 +48,8 @@ def close_groups(words: DataFrame, idle: str = "10 minutes") -> DataFrame:
                 if r.text.rstrip().endswith((".", "?", "!")):
                     close()
             state.update((json.dumps(held),))
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + _ms(idle))
+            spoken = int(rows["ts"].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(spoken, state.getCurrentWatermarkMs()) + _ms(idle))
         yield pd.DataFrame(out, columns=["media_id", "ws", "we", "start_ms", "end_ms", "text"])
 
     return (
