@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuewright.llm.grams import bucket, join_texts, rolling
+from cuewright.llm.grams import Windows, bucket, join_texts
 from cuewright.llm.language import LanguageModel, letters_only, train_language_model
 from cuewright.llm.repetition import repeated_letters
 from cuewright.llm.text import LETTER_RE, forms
@@ -152,8 +152,9 @@ class EndModel:
         stops = np.flatnonzero(points == 0)[1:] - 1
         out = np.zeros(len(texts))
         left = np.ones(len(texts), bool)
+        windows = Windows(points)
         for k, n in enumerate(END_ORDERS):
-            h = rolling(points, n)[stops]
+            h = windows.hashes(n)[stops]
             b = bucket(h, END_BITS)
             e, a = self.ends[k][b] - 1, self.all[k][b] - 1
             use = left & (h != 0) & (a >= 8)
@@ -180,8 +181,9 @@ def train_end_model(df: DataFrame, text: str) -> EndModel:
             for a in range(0, len(texts), 5000):
                 points, _ = join_texts(texts[a : a + 5000])
                 stops = np.flatnonzero(points == 0)[1:] - 1
+                windows = Windows(points)
                 for k, n in enumerate(END_ORDERS):
-                    h = rolling(points, n)
+                    h = windows.hashes(n)
                     all_[k] += np.bincount(bucket(h[h != 0], END_BITS), minlength=1 << END_BITS)
                     h = h[stops]
                     ends[k] += np.bincount(bucket(h[h != 0], END_BITS), minlength=1 << END_BITS)
