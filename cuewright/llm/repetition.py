@@ -67,10 +67,11 @@ def repeated_letters(text: str | None) -> tuple[int, int]:
     for w, s, a in zip(words, sizes, again):
         if a or s < MANY:
             continue
+        letters = w if w.isalpha() else "".join(LETTER_RE.findall(w))
         if s > LONG_WORD:
-            repeated += _characters("".join(LETTER_RE.findall(w)))[1]
-        elif (m := STUTTER_RE.fullmatch(w)) is not None:
-            repeated += s - len(m.group(1))
+            repeated += _characters(letters)[1]
+        else:
+            repeated += sum(len(m.group()) - len(m.group(1)) for m in STUTTER_RE.finditer(letters))
     return total, repeated
 
 

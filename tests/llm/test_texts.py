@@ -13,7 +13,7 @@ from cuewright.llm import text as Tx
     [
         (None, 0), ("", 0), ("123 !", 0), ("we went home early today", 0),
         ("the old boat left. The OLD boat, left!", 0.5), ("no no no no no no no no no no", 0.9), ("不不不不不不不不不不", 0.9), ("no no no, we left the old pier at noon", 0),
-        ("谢谢你老师。谢谢你老师。谢谢你老师。", 2 / 3), ("hahahahahahahahaha", 16 / 18), ("बारिश में नाव गई। बारिश में नाव गई। बारिश में नाव गई।", 2 / 3),
+        ("谢谢你老师。谢谢你老师。谢谢你老师。", 2 / 3), ("hahahahahahahahaha", 16 / 18), ("hahahahahahah", 10 / 13), ("in 10000 days", 0), ("बारिश में नाव गई। बारिश में नाव गई। बारिश में नाव गई।", 2 / 3),
     ],
 )
 def test_repeated_share(text, share):
