@@ -44,3 +44,19 @@ def test_query_agrees_with_sql(spark, name):
     got, want = E.queries()[name](spark, DATA).toPandas(), con.execute(E.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert _norm(got) == _norm(want)
+
+
+@pytest.mark.parametrize("name", ["p3_found", "p7_found", "p7_rolling", "q_band_join", "q_window_context", "q_bigram_reject", "q_resolve", "q_segment_words"])
+def test_plans_have_no_cross_join(spark, name):
+    import __spark_entry__ as E
+
+    plan = E.queries()[name](spark, DATA)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_scans_read_only_what_is_needed(spark):
+    import __spark_entry__ as E
+
+    plan = E.queries()["p7_found"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    schemas = [line for line in plan.splitlines() if "ReadSchema" in line]
+    assert schemas and all("text" not in s.split("ReadSchema")[1] for s in schemas)
