@@ -105,14 +105,13 @@ def pack(df: DataFrame, key: str, text: str = "text", capacity: int = CAPACITY,
 
     A text is split, into pieces of the capacity and a rest, only if it exceeds the capacity. No bin holds
     more than the capacity. Texts of 0 tokens take no room and get bin null; repeated rows of a key are
-    packed once; a null key is one key. Runs token counting when called (one checkpoint).
+    packed once, of differing rows the shortest; a null key is one key. Runs token counting when called (one checkpoint).
     """
     from cuewright.session import cut
 
     if capacity < 1:
         raise ValueError("the capacity must be at least 1")
-    once = df.select(key, text).groupBy(key).agg(F.min(text).alias(text))
-    sized = cut(token_counts(once, text, tokenizer))
+    sized = cut(token_counts(df.select(key, text), text, tokenizer).groupBy(key).agg(F.min("tokens").alias("tokens")))
     parts = F.greatest(F.ceil(F.col("tokens") / capacity), F.lit(1)).cast("int")
     pieces = sized.select(key, "tokens", F.explode(F.sequence(F.lit(0), parts - 1)).alias("piece"))
     lo = F.col("piece") * capacity
