@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -117,19 +118,19 @@ def consistent(text: str) -> str:
 
 
 #: Structure of subtitle files and numbered lines: timecode lines, number lines, leading line numbers.
-TIMECODE_RE = regex.compile(r"\d{1,2}:\d{2}:\d{2}[.,]\d{1,3}(?:\s*-->\s*\d{1,2}:\d{2}:\d{2}[.,]\d{1,3})?")
-NUMBER_LINE_RE = regex.compile(r"(?m)^[ \t]*(?:\[?\d+\]?|#\d+)[ \t]*\r?$")
-LINE_NUMBER_RE = regex.compile(r"(?m)^[ \t]*(?:\[\d+(?:-\d+)?\]|#?\d+[.:)\]](?=\s))[ \t]*")
+TIMECODE_RE = re.compile(r"\d{1,2}:\d{2}:\d{2}[.,]\d{1,3}(?:\s*-->\s*\d{1,2}:\d{2}:\d{2}[.,]\d{1,3})?")
+NUMBER_LINE_RE = re.compile(r"(?m)^[ \t]*(?:\[?\d+\]?|#\d+)[ \t]*\r?$")
+LINE_NUMBER_RE = re.compile(r"(?m)^[ \t]*(?:\[\d+(?:-\d+)?\]|#?\d+[.:)\]](?=\s))[ \t]*")
 
 
-DIGIT_RE = regex.compile(r"\d")
+DIGIT_RE = re.compile(r"\d")
 
 
 def without_structure(text: str) -> str:
     """Text without subtitle numbers, timecodes and line numbers."""
     if not DIGIT_RE.search(text):
         return text
-    t = NUMBER_LINE_RE.sub("", TIMECODE_RE.sub("", text))
+    t = NUMBER_LINE_RE.sub("", TIMECODE_RE.sub("", text) if ":" in text else text)
     return LINE_NUMBER_RE.sub("", t)
 
 
