@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from cuewright.llm.arrow import map_column
 from cuewright.llm.text import consistent, skeleton
+from cuewright.session import cut
 
 
 def _forms(texts: list) -> list[list]:
@@ -35,10 +36,11 @@ def same_look_pairs(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     Null, empty and blank texts are left out. Exact copies are never compared with one another: the
     spellings of a look are paired first (usually two or three), rows join to these pairs by spelling, so
-    work follows the size of the result. Repeated rows of a key count once; null keys have no pair.
+    work follows the size of the result. Repeated rows of a key count once; null keys have no pair. Normalises all texts when
+    called (one checkpoint of keys and hashes).
     """
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("k").isNotNull() & (F.trim("t") != ""))
-    rows = consistent_form(rows, "t").where(F.col("consistent") != "").select("k", "look", "own").distinct()
+    rows = cut(consistent_form(rows, "t").where(F.col("consistent") != "").select("k", "look", "own").distinct())  # read three times
     spellings = rows.groupBy("look", "own").agg(F.lit(1).alias("one"))
     several = spellings.groupBy("look").agg(F.count("*").alias("n")).where("n > 1").select("look")
     spellings = spellings.join(several, "look").select("look", "own")
