@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from cuewright.llm.grams import Windows, bucket, join_texts
 from cuewright.llm.language import LanguageModel, letters_only, train_language_model
 from cuewright.llm.repetition import repeated_letters
-from cuewright.llm.text import LETTER_RE, forms
+from cuewright.llm.text import LETTERS_RE, forms, letter_count
 from cuewright.operators.keys import join_on, once
 
 #: End tokens and line numbers around a reply, and replies that only say there is none.
@@ -50,12 +50,14 @@ REFUSALS = regex.compile(
 #: Letters that languages need for the same content, relative to English; a prior for the ratios that the data give.
 LETTERS = {"en": 1.0, "de": 1.08, "fr": 1.08, "es": 1.05, "ru": 1.05, "zh": 0.3, "ja": 0.42, "th": 0.95, "hi": 0.95, "ar": 0.8, "": 1.0}
 PRIOR_PAIRS = 20
+_TOKENS_RE = regex.compile(r"[\p{L}\p{M}\p{N}'’]+|[，。,.！!？?、]")
+_FOLDED_RE = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 #: A reply has broken off if it has less than SURELY of the letters its source leads one to expect, or less than MAYBE and
 #: its last letters are ones that go on rather than end.
 SURELY, MAYBE = 0.52, 0.68
 END_BITS = 18
 END_ORDERS = (6, 4, 3)
-SCRIPTS = [("th", regex.compile(r"\p{Thai}")), ("hi", regex.compile(r"\p{Devanagari}")), ("ar", regex.compile(r"\p{Arabic}")), ("ja", regex.compile(r"[\p{Hiragana}\p{Katakana}]")), ("zh", regex.compile(r"\p{Han}")), ("ru", regex.compile(r"\p{Cyrillic}")), ("Latin", regex.compile(r"\p{Latin}"))]
+SCRIPTS = [("th", regex.compile(r"\p{Thai}+")), ("hi", regex.compile(r"\p{Devanagari}+")), ("ar", regex.compile(r"\p{Arabic}+")), ("ja", regex.compile(r"[\p{Hiragana}\p{Katakana}]+")), ("zh", regex.compile(r"\p{Han}+")), ("ru", regex.compile(r"\p{Cyrillic}+")), ("Latin", regex.compile(r"\p{Latin}+"))]
 
 
 def bare(reply: str | None) -> str:
@@ -64,12 +66,14 @@ def bare(reply: str | None) -> str:
 
 
 def folded(text: str) -> str:
-    return "".join(regex.findall(r"[\p{L}\p{M}\p{N}]", forms(text).casefold()))
+    return "".join(_FOLDED_RE.findall(forms(text).casefold()))
 
 
 def script_of(text: str) -> str:
     """The script, by the language that stands for it, of most letters; kana decides for ja; '' without letters."""
-    n = {name: len(r.findall(text)) for name, r in SCRIPTS}
+    if text.isascii():
+        return "Latin" if any(map(str.isalpha, text)) else ""
+    n = {name: sum(map(len, r.findall(text))) for name, r in SCRIPTS}
     if n["ja"] and n["ja"] * 8 >= n["zh"]:
         n["ja"] += n["zh"]
         n["zh"] = 0
@@ -103,14 +107,14 @@ def _judge(replies, sources, targets, model: LanguageModel):
     at = {lab: i for i, lab in enumerate(model.languages)}
     defect, first_r, first_s, all_r, all_s, margin = [], [], [], [], [], []
     for i, (c, s, tgt) in enumerate(zip(clean, source_text, targets)):
-        lr, ls = len(LETTER_RE.findall(c)), len(LETTER_RE.findall(s))
-        words = " ".join(regex.findall(r"[\p{L}\p{M}]+", c.casefold()))
+        lr, ls = letter_count(c), letter_count(s)
+        words = " ".join(LETTERS_RE.findall(c.casefold()))
         m = 0.0
         if not lr:
             d = "" if not ls and regex.search(r"\d", c) else "empty"
         elif words in PLACEHOLDERS:
             d = "empty"
-        elif REFUSALS.search(" ".join(regex.findall(r"[\p{L}\p{M}\p{N}'’]+|[，。,.！!？?、]", c.casefold()))) and not REFUSALS.search(s.casefold()):
+        elif REFUSALS.search(" ".join(_TOKENS_RE.findall(c.casefold()))) and not REFUSALS.search(s.casefold()):
             d = "refusal"
         elif ls and folded(c) == folded(s):
             d = "copy"

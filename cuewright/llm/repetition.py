@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from cuewright.llm.arrow import map_column
-from cuewright.llm.text import LETTER_RE, WORD_RE, forms, unspaced
+from cuewright.llm.text import ASCII_WORD_RE, LETTERS_RE, WORD_RE, forms, letter_count, unspaced
 
 WORDS = 3
 CHARS = 6
@@ -58,16 +58,16 @@ def repeated_letters(text: str | None) -> tuple[int, int]:
         return 0, 0
     t = forms(text).casefold()
     if unspaced(t):
-        return _characters("".join(LETTER_RE.findall(t)))
-    words = WORD_RE.findall(t)
-    sizes = [len(LETTER_RE.findall(w)) for w in words]
+        return _characters("".join(LETTERS_RE.findall(t)))
+    words = (ASCII_WORD_RE if t.isascii() else WORD_RE).findall(t)
+    sizes = [len(w) if w.isalpha() else letter_count(w) for w in words]
     again = _repeated_units(words, WORDS)
     total = sum(sizes)
     repeated = sum(s for s, a in zip(sizes, again) if a)
     for w, s, a in zip(words, sizes, again):
         if a or s < MANY:
             continue
-        letters = w if w.isalpha() else "".join(LETTER_RE.findall(w))
+        letters = w if w.isalpha() else "".join(LETTERS_RE.findall(w))
         if s > LONG_WORD:
             repeated += _characters(letters)[1]
         else:

@@ -21,6 +21,8 @@ ENDED_RE = regex.compile(f"[{FINAL}][{CLOSERS}\\s]*\\Z")
 UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}ー\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
 UNSPACED_RE = regex.compile(f"[{UNSPACED}]")
 LETTER_RE = regex.compile(r"[\p{L}\p{M}]")
+LETTERS_RE = regex.compile(r"[\p{L}\p{M}]+")
+ASCII_WORD_RE = re.compile(r"[A-Za-z0-9]+(?:'[A-Za-z0-9]+)*")
 WORD_RE = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}\p{N}]+)*")
 
 #: Letters of other scripts that look like a Latin letter, by that letter.
@@ -134,7 +136,13 @@ def without_structure(text: str) -> str:
     return LINE_NUMBER_RE.sub("", t)
 
 
+def letter_count(text: str) -> int:
+    return sum(map(len, LETTERS_RE.findall(text)))
+
+
 def unspaced(text: str) -> bool:
     """Whether most of the text's letters belong to scripts without spaces between words."""
-    letters = len(LETTER_RE.findall(text))
+    if text.isascii() or not UNSPACED_RE.search(text):
+        return False
+    letters = letter_count(text)
     return letters > 0 and 2 * len(UNSPACED_RE.findall(text)) > letters
