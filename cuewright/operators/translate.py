@@ -149,7 +149,7 @@ def finished(resolved: DataFrame, target: str, add_punctuation: bool = True, spa
     return resolved.withColumn("state", state).withColumn("translated", done)
 
 
-def drift(lines: DataFrame, keys: list[str], threshold: float | None = 0.4, source: str = "source", translated: str = "translated") -> DataFrame:
+def drift(lines: DataFrame, keys: list[str], threshold: float | None = 0.16, source: str = "source", translated: str = "translated") -> DataFrame:
     """Neighbouring lines whose translations are more alike than their sources: keys, line_no, sim_source, sim_translated.
 
     line_no is the first of the two. A null on either side is no pair; without a threshold nothing is.

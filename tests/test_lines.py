@@ -123,6 +123,49 @@ def test_translate_keeps_source_when_calls_fail(spark):
     assert [(r.translated, r.state) for r in got] == [(f"line {i}", "kept_source") for i in (1, 2, 3)]
 
 
+def translator(answers, default):
+    class Model:
+        def chat(self, system, user, max_tokens, temperature):
+            for (stage, text), said in answers.items():
+                if stage in system and text in user.split("After:")[0].split("Lines to translate:")[-1]:
+                    return said
+            return default
+
+    return Model
+
+
+def test_windows_in_the_wrong_script_are_asked_again(spark):
+    lines = spark.createDataFrame([("m", 1, "one old boat"), ("m", 2, "two new boats")], "media_id string, line_no int, text string")
+    model = translator({("attempt 3", "one"): "[1] 一\n[2] 二"}, "[1] one old boat\n[2] two new boats")
+    got = translate_lines(lines, K, model, attempts=1, delays=()).orderBy("line_no").collect()
+    assert [r.translated for r in got] == ["一", "二"]
+
+
+def test_single_lines_are_repaired(spark):
+    texts = ["a red boat", "the long day", "we went home"]
+    lines = spark.createDataFrame([("m", i + 1, t) for i, t in enumerate(texts)], "media_id string, line_no int, text string")
+    model = translator({("only the one line", "the long day"): "[1] 漫长的一天", ("Lines", "we went home"): "[1] 我们回家", ("Translate", "a red boat"): "[1] 红船\n[2] the long day still"}, None)
+    got = translate_lines(lines, K, model, attempts=1, delays=(), drift_threshold=None).orderBy("line_no").collect()
+    assert [r.translated for r in got][:2] == ["红船", "漫长的一天"]
+
+
+def test_merges_into_the_next_window_are_parted(spark):
+    lines = spark.createDataFrame([("m", i, f"line {i}") for i in (1, 2, 3)], "media_id string, line_no int, text string")
+
+    def make():
+        class Model:
+            def chat(self, system, user, max_tokens, temperature):
+                if "overlap" in system:
+                    return "[2] deux\n[3] trois"
+                body = user.split("Lines to translate:\n")[1]
+                return "[1] un\n[2-3] deux trois" if "line 1" in body else "[1] trois encore"
+
+        return Model()
+
+    got = translate_lines(lines, K, make, target="french", attempts=1, delays=(), drift_threshold=None).orderBy("line_no").collect()
+    assert [r.translated for r in got] == ["un", "deux", "trois"]
+
+
 def test_drop_folder_stream(spark, tmp_path):
     from cuewright.streaming.drop_folder import watch
 
