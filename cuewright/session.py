@@ -36,7 +36,7 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not sc.master.startswith("local"):
+            if sc.master != "local" and not sc.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = os.path.join(tempfile.gettempdir(), f"cuewright-{os.getpid()}")
         sc.setCheckpointDir(folder)
