@@ -124,7 +124,7 @@ def _judge(replies, sources, targets, model: LanguageModel):
                 if own[i] == "Latin" or (own[i] in at and tgt in at):
                     m = float(scores[i, at[own[i]]] - scores[i, at[tgt]]) if own[i] in at and tgt in at else 0.0
                 else:
-                    m = 9.0 if own[i] != tgt else 0.0
+                    m = 9.0 if own[i] != tgt and (tgt in at or tgt in LETTERS) else 0.0
         defect.append(d)
         margin.append(m)
         a, b = repeated_letters(c)
@@ -207,7 +207,7 @@ def judged_pairs(pairs: DataFrame, keys: list[str], source: str = "source", repl
 
     Trains the language model and the end-of-text model on all replies (two small jobs when called), takes
     the usual length ratio of every pair of languages from all pairs, then judges each pair. A null or
-    blank reply is empty; a null target is never 'wrong_lang'; a source without letters never makes a reply
+    blank reply is empty; a null target, or one of the rare labels beyond the 200 commonest, is never 'wrong_lang'; a source without letters never makes a reply
     truncated or copied.
     """
     spark = pairs.sparkSession
@@ -239,7 +239,8 @@ def judged_pairs(pairs: DataFrame, keys: list[str], source: str = "source", repl
     is_foreign = (F.col("own") != "") & (F.col("own") != F.col("target")) & (F.col("margin") >= FOREIGN) & (F.col("margin") * F.col("grams") >= FOREIGN_ENOUGH)
     rows = rows.withColumn("foreign", F.coalesce(is_foreign, F.lit(False)))
     ratio = F.when((F.col("first_s") > 0) & (F.col("first_r") > 0), F.log(F.col("first_r") / F.col("first_s")))  # of what is said once
-    usual = rows.where((F.col("defect") == "") & ~F.col("foreign")).groupBy("src", "target").agg(F.percentile_approx(ratio, 0.5, 1000).alias("mid"), F.count(ratio).alias("n"))
+    known = F.col("target").isin(model.languages) if model.languages else F.lit(False)  # at most 200, so the ratios are few
+    usual = rows.where(known & (F.col("defect") == "") & ~F.col("foreign")).groupBy("src", "target").agg(F.percentile_approx(ratio, 0.5, 1000).alias("mid"), F.count(ratio).alias("n"))
     prior = F.create_map(*[F.lit(x) for k, v in LETTERS.items() for x in (k, float(np.log(v)))])
     of = lambda c: F.coalesce(F.try_element_at(prior, F.col(c)), F.lit(0.0))
     usual = usual.select("src", "target", ((F.coalesce("mid", F.lit(0.0)) * F.col("n") + PRIOR_PAIRS * (of("target") - of("src"))) / (F.col("n") + PRIOR_PAIRS)).alias("usual"))
