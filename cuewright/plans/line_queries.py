@@ -446,6 +446,36 @@ select media_id, take_no, line_no, {_SPACE.format(c=_QUOTED.format(c="u"))} as a
     + f""" select cue_id, {_SPACE.format(c="text")} as spaced,
   {_SPACE.format(c="text").replace("])([", "]) ([").replace("1 ", "1")} as tight from c""",
     "q_strip_tokens": _PAIR + f" select media_id, take_no, line_no, {_STRIP("regexp_replace(translated, '<\\|.*?\\|>', '', 'g')")} as text from p where translated is not null",
+    "q_srt_round_trip": _CUES
+    + rf""",
+e as (select media_id, line_no as n, start_ms, end_ms, {_STRIP("regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g')")} as text from c)
+select media_id, cast(row_number() over (partition by media_id order by n) as integer) as line_no, start_ms, end_ms, text from e where text <> '' and start_ms is not null and end_ms is not null""",
+    "q_drift": _PAIR
+    + f""",
+x as (select *, {_CHARS("source")} as a, {_CHARS("translated")} as b from p),
+y as (
+  select *, lead(source) over win as source2, lead(translated) over win as translated2, lead(a) over win as a2, lead(b) over win as b2, lead(line_no) over win as next
+  from x window win as (partition by media_id, take_no order by line_no)),
+z as (
+  select media_id, take_no, line_no,
+         case when source = '' or source2 = '' then 0.0::double when len(list_concat(a, a2)) = 0 then 1.0::double else len(list_intersect(a, a2)) / len(list_distinct(list_concat(a, a2)))::double end as s,
+         case when translated = '' or translated2 = '' then 0.0::double when len(list_concat(b, b2)) = 0 then 1.0::double else len(list_intersect(b, b2)) / len(list_distinct(list_concat(b, b2)))::double end as t
+  from y where translated is not null and translated2 is not null and source2 is not null)
+select media_id, take_no, line_no, round(s, 6) as sim_source, round(t, 6) as sim_translated from z where t - s > 0.2""",
+    "q_clean_output": _NOISY
+    + f""",
+a as (select media_id, take_no, line_no, {_STRIP("regexp_replace(said, '(?is)\\bNote\\s*:.*', '')")} as t from zn),
+b as (select media_id, take_no, line_no, {_STRIP("regexp_replace(t, '(?is)\\bExplanation\\s*:.*', '')")} as t from a),
+c as (select media_id, take_no, line_no, {_STRIP("regexp_replace(t, '(?is)\\bExample\\s*:.*', '')")} as t from b),
+d as (select media_id, take_no, line_no, {_STRIP("regexp_replace(t, '(?is)\\bDisclaimer\\s*:.*', '')")} as t from c)
+select media_id, take_no, line_no, {_STRIP("regexp_replace(t, '\\n\\[.*?\\].*', '', 'g')")} as text from d""",
+    "q_strip_reasoning": _NOISY
+    + f""",
+a as (
+  select media_id, take_no, line_no,
+         {_STRIP("regexp_replace(regexp_replace(regexp_replace(said, '(?is)<think>.*?</think>', '', 'g'), '(?is)<reason>.*?</reason>', '', 'g'), '(?is)<reasoning>.*?</reasoning>', '', 'g')")} as t from zn),
+b as (select *, regexp_extract(t, '(?s)^(.*?\n)\[', 1) as pre from a)
+select media_id, take_no, line_no, {_STRIP("case when pre <> '' and " + _STRIP("pre") + " <> '' and not regexp_matches(pre, '\\[.*?\\]') then substr(t, length(pre) + 1) else t end")} as text from b""",
     "q_verdict_parse": _SEG + " select media_id, take_no, line_no, case line_no % 5 when 0 then 'TF' when 1 then 'FF' when 2 then 'TF' when 3 then null else 'TF' end as v from s",
     "q_min_tokens": _SEG
     + """, n as (select media_id, take_no, line_no, length(text) as n from s)
