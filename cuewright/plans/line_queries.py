@@ -360,6 +360,8 @@ with l as (
          generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) as n
   from documents where %s regexp_matches(coalesce(text, ''), '[0-9]{2}:[0-9]{2}:[0-9]{2}[,.][0-9]{3}\s*-->\s*[0-9]{2}:[0-9]{2}:[0-9]{2}[,.][0-9]{3}'))"""
 
+_BODY = "case when pre <> '' and " + _STRIP("pre") + r" <> '' and not regexp_matches(pre, '\[.*?\]') then substr(t, length(pre) + 1) else t end"
+
 ORACLE = {
     "q_srt_parse": _LINES % (_STRIP("x"), "")
     + f""",
@@ -474,8 +476,8 @@ select media_id, take_no, line_no, {_STRIP("regexp_replace(t, '\\n\\[.*?\\].*',
 a as (
   select media_id, take_no, line_no,
          {_STRIP("regexp_replace(regexp_replace(regexp_replace(said, '(?is)<think>.*?</think>', '', 'g'), '(?is)<reason>.*?</reason>', '', 'g'), '(?is)<reasoning>.*?</reasoning>', '', 'g')")} as t from zn),
-b as (select *, regexp_extract(t, '(?s)^(.*?\n)\[', 1) as pre from a)
-select media_id, take_no, line_no, {_STRIP("case when pre <> '' and " + _STRIP("pre") + " <> '' and not regexp_matches(pre, '\\[.*?\\]') then substr(t, length(pre) + 1) else t end")} as text from b""",
+b as (select *, regexp_extract(t, '(?s)^(.*?\\n)\\[', 1) as pre from a)
+select media_id, take_no, line_no, {_STRIP(_BODY)} as text from b""",
     "q_verdict_parse": _SEG + " select media_id, take_no, line_no, case line_no % 5 when 0 then 'TF' when 1 then 'FF' when 2 then 'TF' when 3 then null else 'TF' end as v from s",
     "q_min_tokens": _SEG
     + """, n as (select media_id, take_no, line_no, length(text) as n from s)
