@@ -92,8 +92,9 @@ def q_srt_round_trip(spark, d):
 
 
 def q_words_json(spark, d):
-    w = once(table(spark, d, "words"), [*K, "idx"], ["seg_idx", "start", "end", "text"]).where("take_no = 0")
-    t = I.words_json(w)
+    """Each take's words written as one JSON text and read again; media_id is media#take."""
+    w = once(table(spark, d, "words"), [*K, "idx"], ["seg_idx", "start", "end", "text"])
+    t = I.words_json(w.withColumn("media_id", F.concat_ws("#", *K)))
     back = t.select("media_id", F.explode(F.from_json("text", I.WORDS_JSON)).alias("w"))
     return back.groupBy("media_id").agg(F.count("*").alias("words"), F.count("w.text").alias("texts"), F.sum(F.round(F.col("w.start") * 1000).cast("long")).alias("starts"))
 
