@@ -249,10 +249,16 @@ def q_translate_echo(spark, d):
     return translate_cues(s, K, _Echo, target="french", attempts=1)
 
 
+#: Most prompts whose answers q_replay knows; a replay table is of bounded size.
+REPLAYED = 1000
+
+
 def q_replay(spark, d):
-    """Answers from a table: only the first prompt is known."""
-    s = _segments(spark, d).where("line_no <= 4")
-    return translate_lines(s, K, lambda: Replay({}), attempts=1, delays=()).groupBy("state").agg(F.count("*").alias("n"))
+    """Answers from a table: of every line's window, only the takes' first prompts are known."""
+    s = _segments(spark, d)
+    first = R.user_prompts(R.window_lines(s.where("line_no <= 4"), K).where("win = 0"), K).select("user", "lines").distinct().orderBy("user").limit(REPLAYED)
+    known = {r.user: "\n".join(f"[{i + 1}] ligne {i + 1}" for i in range(r.lines)) for r in first.collect()}
+    return translate_lines(s, K, lambda: Replay(known), target="french", attempts=1, delays=()).groupBy("state").agg(F.count("*").alias("n"))
 
 
 def q_batch_summary(spark, d):
