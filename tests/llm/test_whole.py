@@ -1,0 +1,12 @@
+"""Cases the operators left out."""
+
+from cuewright.llm import truncation as Tr
+
+
+def test_sign_off_of_a_subtitle_text_is_whole():
+    tables = Tr.EndTables()
+    for i in range(10):
+        tables.add_text(f"The guide slept on deck {i}. The boat left.\n\nSubtitles: Ana")
+    srt = "1\n00:00:01,000 --> 00:00:02,000\nThe boat left.\n\n2\n00:00:03,000 --> 00:00:04,000\n"
+    assert not Tr.judge(srt + "Subtitles: Ben", tables)[0]
+    assert Tr.judge(srt + "The guide slept on", tables)[0]
