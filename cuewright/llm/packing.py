@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import base64
 import os
+from collections.abc import Iterator
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,8 +29,9 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: Ranks are counted in salted parts of each length, so that a very common length is no hot key: one part per so many
 #: pieces in all, within these bounds.
 PER_SALT, SALTS = 1_000_000, (64, 4096)
-#: A run of characters without any blank is tokenized in parts of this many; the merging is slow on long runs.
+#: A piece of the pattern longer than this is tokenized in parts of this many; the merging is slow on long runs.
 PART = 20_000
+_PIECE_RE = regex.compile(PATTERN)
 
 
 def _encoding(path: str):
@@ -39,6 +42,24 @@ def _encoding(path: str):
     return tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _parts(text: str) -> Iterator[str]:
+    """The text in stretches of about PART that tokenize as the whole does; only a piece of the pattern longer than PART is cut inside."""
+    if len(text) <= PART:
+        yield text
+        return
+    a = 0
+    for m in _PIECE_RE.finditer(text):
+        # after a blank the pattern looks ahead, so no stretch ends with one
+        if m.start() > a and (m.end() - a > PART) and not text[m.start() - 1].isspace():
+            yield text[a : m.start()]
+            a = m.start()
+        while m.end() - a > PART and not m.group().isspace() and a >= m.start():
+            yield text[a : a + PART]
+            a += PART
+    if a < len(text):
+        yield text[a:]
+
+
 def token_counts(df: DataFrame, text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """Adds `tokens`, the length of the text in tokens of the given vocabulary; 0 for null and empty texts."""
     keep = [c for c in df.columns if c not in (text, "tokens")]
@@ -49,7 +70,7 @@ def token_counts(df: DataFrame, text: str = "text", tokenizer: str = TOKENIZER)
 
         enc = _encoding(tokenizer)
         for b in batches:
-            n = [sum(len(enc.encode_ordinary(t[i : i + PART])) for i in range(0, len(t), PART)) if t else 0 for t in b.column(text).to_pylist()]
+            n = [sum(len(enc.encode_ordinary(x)) for x in _parts(t)) if t else 0 for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n, pa.int32())], names=[*keep, "tokens"])
 
     return df.select(*keep, text).mapInArrow(run, made)

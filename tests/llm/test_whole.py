@@ -1,5 +1,10 @@
 """Cases the operators left out."""
 
+import os
+
+import pytest
+
+from cuewright.llm import packing as P
 from cuewright.llm import truncation as Tr
 
 
@@ -10,3 +15,12 @@ def test_sign_off_of_a_subtitle_text_is_whole():
     srt = "1\n00:00:01,000 --> 00:00:02,000\nThe boat left.\n\n2\n00:00:03,000 --> 00:00:04,000\n"
     assert not Tr.judge(srt + "Subtitles: Ben", tables)[0]
     assert Tr.judge(srt + "The guide slept on", tables)[0]
+
+
+@pytest.mark.skipif(not os.path.exists(P.TOKENIZER), reason="no vocabulary")
+def test_long_texts_count_as_the_tokenizer_does(spark):
+    texts = ["shipwreck harbourmaster's  end.\n\n" * 3000, "船が港を出た。それから嵐が来た、" * 3000, "a b" + " " * 30_000 + "c", "x1" * 30_000 + "  tail"]
+    enc = P._encoding(P.TOKENIZER)
+    got = P.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.tokens for r in got} == {i: len(enc.encode_ordinary(t)) for i, t in enumerate(texts)}
+    assert "".join(P._parts("y" * 50_000 + " z")) == "y" * 50_000 + " z" and max(map(len, P._parts("y" * 50_000))) <= P.PART
