@@ -30,6 +30,7 @@ def passages(text: str, words: int = WORDS, chars: int = CHARS) -> set[str]:
     """Every passage of the item that counts as a leak: so many words, or characters where words are not spaced."""
     p = plain(text)
     if unspaced(p):
+        p = p.replace(" ", "")
         return {p[i : i + chars] for i in range(len(p) - chars + 1)}
     w = p.split(" ")
     return {" ".join(w[i : i + words]) for i in range(len(w) - words + 1)}
@@ -48,6 +49,13 @@ def _automaton(items: list[tuple[int, str]], words: int, chars: int) -> ahocoras
     return found
 
 
+def _automata(items: list[tuple[int, str]], words: int, chars: int) -> tuple[ahocorasick.Automaton, ahocorasick.Automaton]:
+    """Of items in spaced words, for plain texts; of unspaced items, for plain texts without any blank."""
+    tight = [x for x in items if unspaced(plain(x[1] or ""))]
+    loose = [x for x in items if not unspaced(plain(x[1] or ""))]
+    return _automaton(loose, words, chars), _automaton(tight, words, chars)
+
+
 def original_span(text: str, passage: str) -> tuple[int, int] | None:
     """Where in the original text a passage of its plain form begins and ends.
 
@@ -99,23 +107,27 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        automaton = _automaton(given.value, words, chars)
+        loose, tight = _automata(given.value, words, chars)
         as_schema = to_arrow_schema(schema)
         for b in batches:
             out: list[list] = [[] for _ in range(5)]
-            if len(automaton):
+            if len(loose) or len(tight):
                 for doc, value in zip(b.column(doc_key).to_pylist(), b.column(text).to_pylist()):
                     if not value:
                         continue
                     p = f" {plain(value)} "
                     hits: dict = {}
-                    for end, (n, ids) in automaton.iter(p):
+                    for end, (n, ids) in loose.iter(p) if len(loose) else ():
                         a, z = p[end - n], p[end + 1] if end + 1 < len(p) else " "
                         found = p[end - n + 1 : end + 1]
                         if " " in found and (a != " " or z != " "):
                             continue  # inside a longer word
                         for i in ids:
                             hits.setdefault(i, {}).setdefault(found, end)
+                    p = p.replace(" ", "")
+                    for end, (n, ids) in tight.iter(p) if len(tight) else ():
+                        for i in ids:
+                            hits.setdefault(i, {}).setdefault(p[end - n + 1 : end + 1], end)
                     for i, of in hits.items():
                         first = min(of, key=of.get)
                         lo, hi = original_span(value, first)

@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from cuewright.llm import leaks as Le
 from cuewright.llm import packing as P
 from cuewright.llm import truncation as Tr
 
@@ -24,3 +25,10 @@ def test_long_texts_count_as_the_tokenizer_does(spark):
     got = P.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id: r.tokens for r in got} == {i: len(enc.encode_ordinary(t)) for i, t in enumerate(texts)}
     assert "".join(P._parts("y" * 50_000 + " z")) == "y" * 50_000 + " z" and max(map(len, P._parts("y" * 50_000))) <= P.PART
+
+
+def test_unspaced_leak_with_latin_words_and_blanks(spark):
+    item = "船长在 3 号码头看见了 Ana 的旧船然后 GPS 坏了他们走回村子里去了"
+    docs = [(0, item), (1, item.replace(" ", "")), (2, f"前文{item.replace(' ', '')}后文abc"), (3, "，".join(item.replace(" ", ""))), (4, "船长在 3 号码头看见了别人的旧船")]
+    got = Le.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == [0, 1, 2, 3] and all(r.first_at < r.first_to for r in got)
