@@ -58,6 +58,8 @@ SURELY, MAYBE = 0.52, 0.68
 END_BITS = 18
 END_ORDERS = (6, 4, 3)
 SCRIPTS = [("th", regex.compile(r"\p{Thai}+")), ("hi", regex.compile(r"\p{Devanagari}+")), ("ar", regex.compile(r"\p{Arabic}+")), ("ja", regex.compile(r"[\p{Hiragana}\p{Katakana}]+")), ("zh", regex.compile(r"\p{Han}+")), ("ru", regex.compile(r"\p{Cyrillic}+")), ("Latin", regex.compile(r"\p{Latin}+"))]
+#: Letters of every other script, which stand for a language that is none of LETTERS.
+OTHER, OTHER_RE = "other", regex.compile(r"[^\P{L}\p{Thai}\p{Devanagari}\p{Arabic}\p{Hiragana}\p{Katakana}\p{Han}\p{Cyrillic}\p{Latin}\p{Common}\p{Inherited}]+")
 
 
 def bare(reply: str | None) -> str:
@@ -70,10 +72,11 @@ def folded(text: str) -> str:
 
 
 def script_of(text: str) -> str:
-    """The script, by the language that stands for it, of most letters; kana decides for ja; '' without letters."""
+    """The script, by the language that stands for it, of most letters; kana decides for ja; OTHER for a script that is not listed; '' without letters."""
     if text.isascii():
         return "Latin" if any(map(str.isalpha, text)) else ""
     n = {name: sum(map(len, r.findall(text))) for name, r in SCRIPTS}
+    n[OTHER] = sum(map(len, OTHER_RE.findall(text)))
     if n["ja"] and n["ja"] * 8 >= n["zh"]:
         n["ja"] += n["zh"]
         n["zh"] = 0
@@ -121,7 +124,9 @@ def _judge(replies, sources, targets, model: LanguageModel):
         else:
             d = ""
             if tgt is not None:
-                if own[i] == "Latin" or (own[i] in at and tgt in at):
+                if own[i] == OTHER:
+                    m = 9.0 if tgt in LETTERS else 0.0  # a target in a script of its own may be the one
+                elif own[i] == "Latin" or (own[i] in at and tgt in at):
                     m = float(scores[i, at[own[i]]] - scores[i, at[tgt]]) if own[i] in at and tgt in at else 0.0
                 else:
                     m = 9.0 if own[i] != tgt and (tgt in at or tgt in LETTERS) else 0.0

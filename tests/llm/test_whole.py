@@ -6,6 +6,7 @@ import pytest
 
 from cuewright.llm import leaks as Le
 from cuewright.llm import packing as P
+from cuewright.llm import pairs as Pa
 from cuewright.llm import truncation as Tr
 
 
@@ -32,3 +33,13 @@ def test_unspaced_leak_with_latin_words_and_blanks(spark):
     docs = [(0, item), (1, item.replace(" ", "")), (2, f"前文{item.replace(' ', '')}后文abc"), (3, "，".join(item.replace(" ", ""))), (4, "船长在 3 号码头看见了别人的旧船")]
     got = Le.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
     assert sorted(r.doc_id for r in got) == [0, 1, 2, 3] and all(r.first_at < r.first_to for r in got)
+
+
+def test_reply_in_an_unlisted_script_is_in_another_language(spark):
+    de = "der alte Töpfer fand eine silberne Pfeife neben der Steinbrücke"
+    en = "the old potter found a silver whistle near the stone bridge"
+    ko, el = "늙은 도공이 돌다리 옆에서 은으로 만든 작은 호루라기를 발견했다", "ο γέρος αγγειοπλάστης βρήκε μια ασημένια σφυρίχτρα στη γέφυρα"
+    rows = [(i, en, de, "de") for i in range(30)] + [(100 + i, en, ko, "ko") for i in range(30)] + [(200, en, ko, "de"), (201, en, el, "de"), (202, en, ko + " GPS", "de")]
+    got = {r.seg_no: r.defect for r in Pa.judged_pairs(spark.createDataFrame(rows, "seg_no int, source string, reply string, target string"), ["seg_no"]).collect()}
+    assert [got[k] for k in (200, 201, 202)] == ["wrong_lang"] * 3
+    assert not any(got[k] for k in (*range(30), *range(100, 130)))
