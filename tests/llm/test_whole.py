@@ -14,9 +14,10 @@ def test_sign_off_of_a_subtitle_text_is_whole():
     tables = Tr.EndTables()
     for i in range(10):
         tables.add_text(f"The guide slept on deck {i}. The boat left.\n\nSubtitles: Ana")
+    tables.finish()
     srt = "1\n00:00:01,000 --> 00:00:02,000\nThe boat left.\n\n2\n00:00:03,000 --> 00:00:04,000\n"
-    assert not Tr.judge(srt + "Subtitles: Ben", tables)[0]
-    assert Tr.judge(srt + "The guide slept on", tables)[0]
+    assert Tr.judge(srt + "Subtitles: Ben", tables) >= Tr.CUT
+    assert Tr.judge(srt + "The guide slept on", tables) < Tr.CUT
 
 
 @pytest.mark.skipif(not os.path.exists(P.TOKENIZER), reason="no vocabulary")
@@ -43,3 +44,31 @@ def test_reply_in_an_unlisted_script_is_in_another_language(spark):
     got = {r.seg_no: r.defect for r in Pa.judged_pairs(spark.createDataFrame(rows, "seg_no int, source string, reply string, target string"), ["seg_no"]).collect()}
     assert [got[k] for k in (200, 201, 202)] == ["wrong_lang"] * 3
     assert not any(got[k] for k in (*range(30), *range(100, 130)))
+
+
+def test_no_mark_decides_by_itself():
+    """Fitted where whole texts end without marks, the same end is whole; where they end in marks, it is cut."""
+    with_marks, without = Tr.EndTables(), Tr.EndTables()
+    for i in range(60):
+        with_marks.add_text(f"The guide slept on deck {i}. The boat left the pier.")
+        without.add_text(f"The guide slept on deck {i}. The boat left the pier")
+    for t in (with_marks, without):
+        t.finish()
+    text = "The guide slept again. The boat left the mill"
+    assert Tr.judge(text, with_marks) < Tr.CUT <= Tr.judge(text, without)
+    assert Tr.judge(text + ".", with_marks) > Tr.CUT
+
+
+def test_thresholds_follow_language_and_source(spark):
+    good, bad = "The boat left the pier. The guide slept.", "The boat left the pier. The gui"
+    rows = [(i, good, "en", "calm") for i in range(200)] + [(1000 + i, bad if i % 2 else good, "en", "torn") for i in range(200)] + [(2000, None, None, None), (2001, good, None, None)]
+    t = Tr.truncated(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), ["doc_id"])
+    got = {r.doc_id: r for r in t.collect()}
+    assert len(got) == len(rows) and got[1].threshold < got[1000].threshold
+    assert not any(got[i].cut for i in range(200)) and all(got[1000 + i].cut == bool(i % 2) for i in range(200))
+    assert not got[2000].cut and got[2000].log_odds is None and not got[2001].cut
+
+
+def test_the_end_is_read_as_far_as_it_takes():
+    """Marks and figures beyond any fixed number of characters do not hide the last letters."""
+    assert Tr._end_view("the old boat left " + "* " * 5000, Tr.sentence_view).endswith("old boat left")
