@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cuewright.llm.leaks import leaks
-from cuewright.llm.lookalike import consistent_form, same_look_pairs
+from cuewright.llm.lookalike import consistent_form, same_look_links, same_look_pairs
 from cuewright.llm.packing import pack
 from cuewright.llm.pairs import judged_pairs, reply_pairs
 from cuewright.llm.repetition import repetition
@@ -75,6 +75,11 @@ def p6_consistent(spark, d):
     return consistent_form(c).select("cue_id", "consistent", F.hex("look").alias("look"))
 
 
+def p6_links(spark, d):
+    """Every cue with the class of its look, its exact copies and the cues that only look the same."""
+    return same_look_links(table(spark, d, "cues"), "cue_id")
+
+
 def p8_pack(spark, d):
     """Every document's place in containers of 2048 tokens."""
     return pack(table(spark, d, "documents"), "doc_id")
@@ -116,6 +121,7 @@ QUERIES = {
     "p5_by_target": p5_by_target,
     "p6_found": p6_found,
     "p6_consistent": p6_consistent,
+    "p6_links": p6_links,
     "p8_pack": p8_pack,
     "p8_fill": p8_fill,
     "p9_found": p9_found,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
 
 import regex
 
@@ -25,23 +24,6 @@ LETTERS_RE = regex.compile(r"[\p{L}\p{M}]+")
 ASCII_WORD_RE = re.compile(r"[A-Za-z0-9]+(?:'[A-Za-z0-9]+)*")
 WORD_RE = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}\p{N}]+)*")
 
-#: Letters of other scripts that look like a Latin letter, by that letter.
-LOOKALIKES = {
-    "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "H": "НΗ",
-    "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚ", "M": "МΜ", "N": "Ν", "O": "ОΟ",
-    "P": "РΡ", "S": "Ѕ", "T": "ТΤ", "X": "ХΧ", "Y": "ҮΥ", "Z": "Ζ",
-    "a": "аɑ", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "і", "j": "јϳ",
-    "o": "оοօ", "p": "р", "q": "ԛ", "s": "ѕ", "w": "ԝ", "x": "х", "y": "у",
-}
-TO_LATIN = {ord(other): latin for latin, others in LOOKALIKES.items() for other in others}
-CYRILLIC = {latin: next(c for c in others if "Ѐ" <= c <= "ԯ") for latin, others in LOOKALIKES.items() if any("Ѐ" <= c <= "ԯ" for c in others)}
-GREEK = {latin: next(c for c in others if "Ͱ" <= c <= "Ͽ") for latin, others in LOOKALIKES.items() if any("Ͱ" <= c <= "Ͽ" for c in others)}
-TO_CYRILLIC = {ord(k): v for k, v in CYRILLIC.items()} | {ord(o): CYRILLIC[k] for k, os in LOOKALIKES.items() if k in CYRILLIC for o in os}
-TO_GREEK = {ord(k): v for k, v in GREEK.items()} | {ord(o): GREEK[k] for k, os in LOOKALIKES.items() if k in GREEK for o in os}
-LOOKALIKE_RE = regex.compile("[" + "".join(LOOKALIKES) + "".join(LOOKALIKES.values()) + "]")
-LATIN_RE, CYRILLIC_RE, GREEK_RE = (regex.compile(rf"\p{{{s}}}") for s in ("Latin", "Cyrillic", "Greek"))
-TWO_SCRIPTS_RE = regex.compile(r"[\p{Cyrillic}\p{Greek}\p{Armenian}" + "".join(LOOKALIKES.values()) + "]")
-
 
 def forms(text: str) -> str:
     """Compatibility form without invisible characters: full-width, ligatures, combining accents and odd spaces made ordinary."""
@@ -50,75 +32,6 @@ def forms(text: str) -> str:
     return unicodedata.normalize("NFKC", INVISIBLE_RE.sub("", unicodedata.normalize("NFKC", text)))
 
 
-def skeleton(text: str) -> str:
-    """What two texts share exactly when they look the same: forms() with every look-alike letter as its Latin twin.
-
-    Surrounding blanks go; case, accents, digits and different marks stay.
-    """
-    t = forms(text).strip()
-    return t if t.isascii() else unicodedata.normalize("NFC", unicodedata.normalize("NFD", t).translate(TO_LATIN))
-
-
-@lru_cache(maxsize=65536)
-def script_sets(token: str) -> frozenset[str]:
-    """The scripts, of Latin, Cyrillic and Greek, in which the whole token could be written.
-
-    Each letter allows its own script and those of its look-alikes; the token allows what all letters
-    allow. Empty: the token mixes scripts and no one of them can spell it. Other scripts count as themselves.
-    """
-    left = None
-    for ch in unicodedata.normalize("NFD", token):
-        if not ch.isalpha():
-            continue
-        latin = TO_LATIN.get(ord(ch), ch)
-        if ch in LOOKALIKES or ord(ch) in TO_LATIN:
-            may = {"Latin"} | ({"Cyrillic"} if latin in CYRILLIC else set()) | ({"Greek"} if latin in GREEK else set())
-        else:
-            may = {_script(ch)}
-        left = may if left is None else left & may
-    return frozenset(left or ())
-
-
-@lru_cache(maxsize=65536)
-def _script(ch: str) -> str:
-    return next((s for s, r in (("Latin", LATIN_RE), ("Cyrillic", CYRILLIC_RE), ("Greek", GREEK_RE)) if r.match(ch)), "other")
-
-
-def consistent(text: str) -> str:
-    """One consistent spelling of a text: forms(), then every token in the one script that can spell all of it.
-
-    Where several scripts can (a whole-script look-alike), the script of the text's unambiguous tokens
-    decides, Latin if there are none. A token that no single script can spell takes the script of most
-    of its letters that have no twin.
-    """
-    t = forms(text).strip()
-    if t.isascii() or not TWO_SCRIPTS_RE.search(t):
-        return t
-    tokens = regex.split(r"([\p{L}\p{M}]+)", unicodedata.normalize("NFC", t))
-    votes = {"Latin": 0, "Cyrillic": 0, "Greek": 0}
-    for x in tokens[1::2]:
-        may = script_sets(x)
-        if len(may) == 1 and (s := next(iter(may))) in votes:
-            votes[s] += len(x)
-    main = max(votes, key=lambda s: (votes[s], s == "Latin"))
-    for i in range(1, len(tokens), 2):
-        x = tokens[i]
-        if not LOOKALIKE_RE.search(x):
-            continue
-        may = script_sets(x) & set(votes)
-        if len(may) == 1:
-            to = next(iter(may))
-        elif may:
-            to = main if main in may else ("Latin" if "Latin" in may else min(may))
-        else:
-            own = [_script(c) for c in x if c.isalpha() and not LOOKALIKE_RE.match(c)]
-            own = [s for s in own if s in votes]
-            to = max(votes, key=lambda s: (own.count(s), s == main)) if own else main
-        table = {"Latin": TO_LATIN, "Cyrillic": TO_CYRILLIC, "Greek": TO_GREEK}[to]
-        tokens[i] = unicodedata.normalize("NFC", unicodedata.normalize("NFD", x).translate(table))
-    return "".join(tokens)
-
-
 #: Structure of subtitle files and numbered lines: timecode lines, number lines, leading line numbers.
 TIMECODE_RE = re.compile(r"\d{1,2}:\d{2}:\d{2}[.,]\d{1,3}(?:\s*-->\s*\d{1,2}:\d{2}:\d{2}[.,]\d{1,3})?")
 NUMBER_LINE_RE = re.compile(r"(?m)^[ \t]*(?:\[?\d+\]?|#\d+)[ \t]*\r?$")

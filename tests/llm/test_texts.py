@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import pytest
 
@@ -8,6 +9,11 @@ from cuewright.llm import repetition as Re
 from cuewright.llm import text as Tx
 
 
+@pytest.fixture(scope="module")
+def spelling(spark):
+    return Lo.Spelling(Lo.look_alikes(Lo.confusables(spark)))
+
+
 @pytest.mark.parametrize(
     ("text", "share"),
     [
@@ -44,21 +50,57 @@ DIFFERENT = [("é", "e"), ("A", "a"), ("1", "2"), ("a.", "a!"), ("3、7", "3, 7"
 
 
 @pytest.mark.parametrize(("a", "b"), SAME)
-def test_same_look(a, b):
-    assert Tx.skeleton(a) == Tx.skeleton(b)
-    assert Tx.consistent(a) == Tx.consistent(b)
+def test_same_look(spelling, a, b):
+    assert spelling.skeleton(a) == spelling.skeleton(b)
+    assert spelling.consistent(a) == spelling.consistent(b)
 
 
 @pytest.mark.parametrize(("a", "b"), DIFFERENT)
-def test_visible_difference(a, b):
-    assert Tx.skeleton(a) != Tx.skeleton(b)
-
-
-def test_consistent_script():
-    assert Tx.consistent("Меrсі, Paul") == "Merci, Paul"
-    assert Tx.consistent("пpaвда и сор") == "правда и сор"
-    assert Tx.script_sets("сор") == {"Latin", "Cyrillic"}
-    assert Tx.script_sets("дa") == {"Cyrillic"} and not Tx.script_sets("дz")
+def test_visible_difference(spelling, a, b):
+    assert spelling.skeleton(a) != spelling.skeleton(b)
+    assert spelling.consistent(a) != spelling.consistent(b)
+
+
+def test_consistent_script(spelling):
+    assert spelling.consistent("Меrсі, Paul") == "Merci, Paul"
+    assert spelling.consistent("пpaвда и сор") == "правда и сор"
+    assert {"LATIN", "CYRILLIC"} <= spelling.scripts("сор")
+    assert spelling.scripts("дa") == {"CYRILLIC"} and not spelling.scripts("дz")
+    assert spelling.consistent("力を入れる。へ、ヘ") == "力を入れる。へ、ヘ" and spelling.consistent("Όχι, ευχαριστώ") == "Όχι, ευχαριστώ"
+
+
+@pytest.mark.parametrize("pair", ["νv", "υu", "ρp", "οo", "ոn", "սu", "հh", "ѵv", "ԌG", "ꓮA", "АΑ", "еe"])
+def test_letters_of_the_public_table(spelling, pair):
+    assert spelling.skeleton(pair[0]) == spelling.skeleton(pair[1])
+    word = "b" + pair[1] + "d"
+    assert spelling.consistent("b" + pair[0] + "d") == spelling.consistent(word)
+
+
+def test_equal_look_is_equal_consistent_form(spelling):
+    """Texts respelled at random within their classes, composed or not, keep one consistent form; it looks as they do."""
+    rng = random.Random(5)
+    words = "мир é Merci Paul сор кот Привет Όχι ευχαριστώ naïve вода ночь hôtel ուշ ABC ice ΑΒ x".split()
+    for _ in range(600):
+        text = " ".join(rng.choices(words, k=rng.randint(1, 6)))
+        other = "".join(rng.choice(sorted(spelling.of[c].values())) if c in spelling.of and rng.random() < 0.5 else c for c in unicodedata.normalize("NFD", text))
+        other = unicodedata.normalize(rng.choice(["NFC", "NFD"]), other)
+        form = spelling.consistent(text)
+        assert spelling.consistent(other) == form == spelling.consistent(form)
+        assert spelling.skeleton(form) == spelling.skeleton(text) == spelling.skeleton(other)
+
+
+def test_confusables_file(tmp_path):
+    path = tmp_path / "confusables.txt"
+    path.write_text("\ufeff# a comment\n0430 ;\t0061 ;\tMA\t# ( а → a )\n\n043E ; 006F ; MA\n", encoding="utf-8")
+    alike = Lo.look_alikes(Lo.read_confusables(str(path)))
+    assert alike == {"а": ("a", "а"), "a": ("a", "а"), "о": ("o", "о"), "o": ("o", "о")}
+    assert Lo.Spelling(alike).consistent("мaмa") == "мама"
+
+
+def test_links(spark, rows):
+    data = [(1, "Merci"), (2, "Меrсі"), (3, "Merci"), (4, "merci"), (5, None), (6, " "), (2, "Меrсі"), (None, "Merci")]
+    got = Lo.same_look_links(spark.createDataFrame(data, "cue_id long, text string"), "cue_id").drop("look")
+    assert rows(got) == [(1, 1, 1), (2, 0, 2), (3, 1, 1), (4, 0, 0)]
 
 
 def test_pairs(spark, rows):
