@@ -1,18 +1,30 @@
-"""Defective pairs of prompt and response: empty, refused, copied, in another language, broken off."""
+"""Defective pairs of prompt and response: empty, refused, copied, in another language, broken off.
+
+Languages: posteriors of a character n-gram naive Bayes model, of the reply and of its prompt; a reply is in another
+language where they speak against the one asked for, and in the prompt's own language sooner than in a third. Breaking off: how
+the reply's last letters end replies or go on, by n-gram counts over all replies, together with the share of the usual letters
+that it has; what the two say is learned from replies as they are and from the same replies cut short.
+"""
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+from functools import lru_cache
+
 import numpy as np
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuewright.llm.grams import Windows, bucket, join_texts
-from cuewright.llm.language import LanguageModel, letters_only, train_language_model
+from cuewright.llm.language import TRAIN_ROWS, LanguageModel, letters_only, train_language_model
 from cuewright.llm.repetition import repeated_letters
 from cuewright.llm.text import LETTERS_RE, forms, letter_count
 from cuewright.operators.keys import join_on, once
+from cuewright.session import cut
 
 #: End tokens and line numbers around a reply, and replies that only say there is none.
 END_TOKEN_RE = regex.compile(r"<\|[^|<>]*\|>|</?s>|\[/?INST\]|<(?:eos|bos|pad|unk|end_of_turn)>", regex.I)
@@ -52,15 +64,21 @@ LETTERS = {"en": 1.0, "de": 1.08, "fr": 1.08, "es": 1.05, "ru": 1.05, "zh": 0.3,
 PRIOR_PAIRS = 20
 _TOKENS_RE = regex.compile(r"[\p{L}\p{M}\p{N}'’]+|[，。,.！!？?、]")
 _FOLDED_RE = regex.compile(r"[\p{L}\p{M}\p{N}]+")
-#: A reply has broken off if it has less than SURELY of the letters its source leads one to expect, or less than MAYBE and
-#: its last letters are ones that go on rather than end.
-SURELY, MAYBE = 0.52, 0.68
+#: The model of breaking off is fitted on about so many replies, each as it is and cut at a share of its letters between these.
+TRAIN_PAIRS, CUT_AT = 40_000, (0.1, 0.6)
+#: The kinds of replies it tells apart: log share of the usual letters in steps from the least to the most, and log-odds of the last letters.
+SHARE_LEAST, SHARE_MOST, SHARE_STEP = -3.0, 1.0, 0.05
+ENDINGS = (-4.0, -3.0, -2.0, -1.0, 0.0)
+#: Stated spread of sound replies' log shares, share of replies that break off, and for how many replies these count.
+SPREAD, BROKEN, STATED_REPLIES = 0.2, 0.03, 50.0
 END_BITS = 18
 END_ORDERS = (6, 4, 3)
 SCRIPTS = [("th", regex.compile(r"\p{Thai}+")), ("hi", regex.compile(r"\p{Devanagari}+")), ("ar", regex.compile(r"\p{Arabic}+")), ("ja", regex.compile(r"[\p{Hiragana}\p{Katakana}]+")), ("zh", regex.compile(r"\p{Han}+")), ("ru", regex.compile(r"\p{Cyrillic}+")), ("Latin", regex.compile(r"\p{Latin}+"))]
 #: Letters of every other script, which stand for a language that is none of LETTERS.
 OTHER, OTHER_RE = "other", regex.compile(r"[^\P{L}\p{Thai}\p{Devanagari}\p{Arabic}\p{Hiragana}\p{Katakana}\p{Han}\p{Cyrillic}\p{Latin}\p{Common}\p{Inherited}]+")
 
+_ORDER = {name: i for i, name in enumerate([*(name for name, _ in SCRIPTS), OTHER])}
+
 
 def bare(reply: str | None) -> str:
     """A reply without end tokens, invisible characters, padding and line number."""
@@ -71,17 +89,25 @@ def folded(text: str) -> str:
     return "".join(_FOLDED_RE.findall(forms(text).casefold()))
 
 
+@lru_cache(maxsize=65536)
+def _script(ch: str) -> str:
+    for name, r in SCRIPTS:
+        if r.match(ch):
+            return name
+    return OTHER if OTHER_RE.match(ch) else ""
+
+
 def script_of(text: str) -> str:
     """The script, by the language that stands for it, of most letters; kana decides for ja; OTHER for a script that is not listed; '' without letters."""
     if text.isascii():
         return "Latin" if any(map(str.isalpha, text)) else ""
-    n = {name: sum(map(len, r.findall(text))) for name, r in SCRIPTS}
-    n[OTHER] = sum(map(len, OTHER_RE.findall(text)))
-    if n["ja"] and n["ja"] * 8 >= n["zh"]:
-        n["ja"] += n["zh"]
-        n["zh"] = 0
-    best = max(n, key=n.get)
-    return best if n[best] else ""
+    n: dict[str, int] = {}
+    for ch, k in Counter(text).items():
+        if s := _script(ch):
+            n[s] = n.get(s, 0) + k
+    if n.get("ja") and n["ja"] * 8 >= n.get("zh", 0):
+        n["ja"] += n.pop("zh", 0)
+    return min(n, key=lambda s: (-n[s], _ORDER[s])) if n else ""
 
 
 SAME_SCRIPT = {"Latin": {"en", "de", "fr", "es"}}
@@ -102,17 +128,16 @@ def languages_of(texts: list[str], model: LanguageModel) -> tuple[list[str], np.
 
 
 def _judge(replies, sources, targets, model: LanguageModel):
-    """Per pair: defect that is certain without lengths ('' if none), languages, and first-said letters of both."""
+    """Per pair: defect that is certain without lengths ('' if none), languages and script, first-said letters of both, and the language evidence."""
     clean = [bare(r) for r in replies]
     source_text = [s or "" for s in sources]
-    src, _, _ = languages_of(source_text, model)
+    src, src_scores, src_n = languages_of(source_text, model)
     own, scores, n = languages_of(clean, model)
     at = {lab: i for i, lab in enumerate(model.languages)}
-    defect, first_r, first_s, all_r, all_s, margin = [], [], [], [], [], []
+    defect, script, first_r, first_s, all_r, all_s, margin, prompt = [], [], [], [], [], [], [], []
     for i, (c, s, tgt) in enumerate(zip(clean, source_text, targets)):
         lr, ls = letter_count(c), letter_count(s)
         words = " ".join(LETTERS_RE.findall(c.casefold()))
-        m = 0.0
         if not lr:
             d = "" if not ls and regex.search(r"\d", c) else "empty"
         elif words in PLACEHOLDERS:
@@ -123,27 +148,37 @@ def _judge(replies, sources, targets, model: LanguageModel):
             d = "copy"
         else:
             d = ""
-            if tgt is not None:
-                if own[i] == OTHER:
-                    m = 9.0 if tgt in LETTERS else 0.0  # a target in a script of its own may be the one
-                elif own[i] == "Latin" or (own[i] in at and tgt in at):
-                    m = float(scores[i, at[own[i]]] - scores[i, at[tgt]]) if own[i] in at and tgt in at else 0.0
-                else:
-                    m = 9.0 if own[i] != tgt and (tgt in at or tgt in LETTERS) else 0.0
         defect.append(d)
+        script.append("" if d else script_of(c))
+        m = p = None
+        if not d and tgt in at and own[i] in at:
+            m = float(scores[i, at[own[i]]] - scores[i, at[tgt]])
+            # the prompt's own evidence for the reply's language against the one asked for
+            p = float(src_scores[i, at[own[i]]] - src_scores[i, at[tgt]]) * min(int(src_n[i]), 1000)
         margin.append(m)
+        prompt.append(p)
         a, b = repeated_letters(c)
         all_r.append(a)
         first_r.append(a - b)
         a, b = repeated_letters(s)
         all_s.append(a)
         first_s.append(a - b)
-    return clean, defect, src, own, first_r, first_s, all_r, all_s, margin, n
+    return clean, defect, src, own, script, first_r, first_s, all_r, all_s, margin, prompt, n
 
 
-#: From this mean log-odds per n-gram on, a reply is in another language than asked for (times the square root of n-grams: short texts need more).
+#: From this mean log-odds per n-gram on, a reply is in another language than asked for (times the n-grams: short texts need more);
+#: where the prompt is in the reply's language, from half as much on, for what is left untranslated is a defect of its own kind.
 FOREIGN = 0.25
 FOREIGN_ENOUGH = 6.0
+PROMPT_SURE = 10.0
+#: A target language is written in one script if so many replies are there and this share of them are.
+SCRIPT_REPLIES, SCRIPT_SHARE = 5, 0.6
+
+
+def _cut_short(text: str) -> str:
+    """The text cut at a share of its length that follows from the text."""
+    lo, hi = CUT_AT
+    return text[: max(1, int(len(text) * (lo + (hi - lo) * (zlib.crc32(text.encode("utf-8", "surrogatepass")) % 1000) / 1000)))]
 
 
 class EndModel:
@@ -152,10 +187,10 @@ class EndModel:
     def __init__(self, ends: np.ndarray, all_: np.ndarray):
         self.ends, self.all = ends, all_
 
-    def log_odds(self, texts: list[str]) -> np.ndarray:
+    def log_odds(self, texts: list[str], own: int = 1) -> np.ndarray:
         """Log odds of ending against going on for each text's last letters, from the longest context seen often enough.
 
-        The text's own ending is taken out of the counts.
+        own: how often the text's own ending was counted, which is taken out of the counts.
         """
         points, _ = join_texts(texts)
         stops = np.flatnonzero(points == 0)[1:] - 1
@@ -165,7 +200,7 @@ class EndModel:
         for k, n in enumerate(END_ORDERS):
             h = windows.hashes(n)[stops]
             b = bucket(h, END_BITS)
-            e, a = self.ends[k][b] - 1, self.all[k][b] - 1
+            e, a = np.maximum(self.ends[k][b] - own, 0), np.maximum(self.all[k][b] - own, 0)
             use = left & (h != 0) & (a >= 8)
             out[use] = np.log((e[use] + 0.3) / (a[use] - e[use] + 0.3))
             left &= ~use
@@ -207,22 +242,62 @@ def train_end_model(df: DataFrame, text: str) -> EndModel:
     return EndModel(ends, all_)
 
 
-def judged_pairs(pairs: DataFrame, keys: list[str], source: str = "source", reply: str = "reply", target: str = "target") -> DataFrame:
+def _share_kind(log_share: Column) -> Column:
+    return F.floor((F.least(F.greatest(log_share, F.lit(SHARE_LEAST)), F.lit(SHARE_MOST - SHARE_STEP / 2)) - SHARE_LEAST) / SHARE_STEP).cast("int")
+
+
+def _ending_kind(value: Column) -> Column:
+    return sum((F.when(value >= e, 1).otherwise(0) for e in ENDINGS), F.lit(0))
+
+
+def breaking_table(whole: np.ndarray, endings: np.ndarray) -> np.ndarray:
+    """Per kind of reply (share by ending) whether it has broken off.
+
+    whole: counts of replies as they are, by kind; endings: counts of the endings of replies cut short. Shares of sound
+    replies spread about the usual as their middle half does, those of broken ones as if cut anywhere between the limits, and
+    endings speak for themselves; how many replies are broken follows from all of them by expectation and maximisation.
+    """
+    ns, ne = whole.shape
+    middle = SHARE_LEAST + SHARE_STEP * (np.arange(ns) + 0.5)
+    order = np.argsort(np.abs(middle), kind="stable")
+    upto = np.cumsum(whole.sum(axis=1)[order])
+    n = upto[-1] if ns else 0
+    half = abs(middle[order][np.searchsorted(upto, n / 2)]) if n else 0.0
+    spread = max((n * 1.4826 * half + STATED_REPLIES * SPREAD) / (n + STATED_REPLIES), SHARE_STEP)
+    sound = np.exp(-0.5 * (middle / spread) ** 2) / spread / np.sqrt(2 * np.pi) * SHARE_STEP + 1e-9
+    lo, hi = CUT_AT
+    left = np.exp(SHARE_LEAST + SHARE_STEP * np.arange(ns))
+    short = (np.clip(left * np.exp(SHARE_STEP), 0, hi) - np.clip(left, 0, hi)) / hi + 1e-9
+    e_short = (endings + 1.0) / (endings.sum() + ne)
+    e_sound = (whole.sum(axis=0) + 1.0) / (n + ne)
+    share = BROKEN
+    for _ in range(20):
+        broken = share * np.outer(short, e_short)
+        odds = broken / (broken + (1 - share) * np.outer(sound, e_sound))
+        share = ((whole * odds).sum() + STATED_REPLIES * BROKEN) / (n + STATED_REPLIES)
+        e_sound = ((whole * (1 - odds)).sum(axis=0) + 1.0) / ((whole * (1 - odds)).sum() + ne)
+    return odds > 0.5
+
+
+def judged_pairs(pairs: DataFrame, keys: list[str], source: str = "source", reply: str = "reply", target: str = "target", train_rows: int = TRAIN_ROWS, train_pairs: int = TRAIN_PAIRS) -> DataFrame:
     """Every pair with its defect (null if sound), the languages found and the share of expected letters.
 
-    Trains the language model and the end-of-text model on all replies (two small jobs when called), takes
-    the usual length ratio of every pair of languages from all pairs, then judges each pair. A null or
-    blank reply is empty; a null target, or one of the rare labels beyond the 200 commonest, is never 'wrong_lang'; a source without letters never makes a reply
+    Fits the language model and the model of breaking off on bounded samples of replies, counts endings over all
+    replies (small jobs when called), takes the usual length ratio of every pair of languages, as the exact median of ratios in
+    thousandths, and the script of every target from all pairs, then judges each pair. A null or blank reply is empty; a null
+    target is never 'wrong_lang', a target too rare for the language model only by script; a source without letters never makes a reply
     truncated or copied.
     """
     spark = pairs.sparkSession
-    model = train_language_model(pairs, reply, target)
+    model = train_language_model(pairs, reply, target, train_rows)
     given = spark.sparkContext.broadcast(model)
     ending = spark.sparkContext.broadcast(train_end_model(pairs, reply))
+    draw = int(min(1.0, train_pairs / max(pairs.count(), 1)) * 1_000_000)
     f = T.StructField
+    long, real, string = T.LongType(), T.DoubleType(), T.StringType()
     made = T.StructType(
         [pairs.schema[k] for k in keys]
-        + [f("target", T.StringType()), f("defect", T.StringType()), f("src", T.StringType()), f("own", T.StringType()), f("first_r", T.LongType()), f("first_s", T.LongType()), f("all_r", T.LongType()), f("all_s", T.LongType()), f("margin", T.DoubleType()), f("grams", T.LongType()), f("ending", T.DoubleType())]
+        + [f("target", string), f("defect", string), f("src", string), f("own", string), f("script", string), f("first_r", long), f("first_s", long), f("all_r", long), f("all_s", long), f("margin", real), f("prompt", real), f("grams", long), f("ending", real), f("cut_share", real), f("cut_ending", real)]
     )
 
     def judge(batches):
@@ -232,30 +307,56 @@ def judged_pairs(pairs: DataFrame, keys: list[str], source: str = "source", repl
         schema = to_arrow_schema(made)
         for b in batches:
             tgt = [t.strip().lower() if t else None for t in b.column("_t").to_pylist()]
-            clean, defect, src, own, fr, fs, ar, as_, margin, n = _judge(b.column("_r").to_pylist(), b.column("_s").to_pylist(), tgt, given.value)
+            clean, defect, *rest, n = _judge(b.column("_r").to_pylist(), b.column("_s").to_pylist(), tgt, given.value)
             ends = ending.value.log_odds([letters_only(c).strip() for c in clean])
-            cols = [tgt, defect, src, own, fr, fs, ar, as_, margin, n.tolist(), ends.tolist()]
+            short = [_cut_short(c) if d and not x and letter_count(c) else None for c, d, x in zip(clean, b.column("_d").to_pylist(), defect)]
+            at = [i for i, c in enumerate(short) if c]
+            cut_share, cut_ending = [None] * len(short), [None] * len(short)
+            for i, e in zip(at, ending.value.log_odds([letters_only(short[i]).strip() for i in at], own=0)):
+                cut_share[i], cut_ending[i] = letter_count(short[i]) / letter_count(clean[i]), float(e)
+            cols = [tgt, defect, *rest, n.tolist(), ends.tolist(), cut_share, cut_ending]
             yield pa.RecordBatch.from_arrays([b.column(k) for k in keys] + [pa.array(c, x.type) for c, x in zip(cols, list(schema)[len(keys) :])], schema=schema)
 
-    rows = pairs.select(*keys, F.col(source).alias("_s"), F.col(reply).alias("_r"), F.col(target).alias("_t")).mapInArrow(judge, made)
-    from cuewright.session import cut
-
-    rows = cut(rows)  # read twice, for the ratios and for the verdict
-    is_foreign = (F.col("own") != "") & (F.col("own") != F.col("target")) & (F.col("margin") >= FOREIGN) & (F.col("margin") * F.col("grams") >= FOREIGN_ENOUGH)
-    rows = rows.withColumn("foreign", F.coalesce(is_foreign, F.lit(False)))
-    ratio = F.when((F.col("first_s") > 0) & (F.col("first_r") > 0), F.log(F.col("first_r") / F.col("first_s")))  # of what is said once
-    known = F.col("target").isin(model.languages) if model.languages else F.lit(False)  # at most 200, so the ratios are few
-    usual = rows.where(known & (F.col("defect") == "") & ~F.col("foreign")).groupBy("src", "target").agg(F.percentile_approx(ratio, 0.5, 1000).alias("mid"), F.count(ratio).alias("n"))
+    drawn_ = F.pmod(F.xxhash64(reply), F.lit(1_000_000)) < draw
+    rows = pairs.select(*keys, F.col(source).alias("_s"), F.col(reply).alias("_r"), F.col(target).alias("_t"), drawn_.alias("_d")).mapInArrow(judge, made)
+    rows = cut(rows)  # read for the ratios, the scripts, the fit and the verdict
+    by_grams = F.col("margin") * F.col("grams")
+    of_prompt = F.coalesce((F.col("own") == F.col("src")) & (F.col("prompt") >= PROMPT_SURE), F.lit(False))
+    ease = F.when(of_prompt, 0.5).otherwise(1.0)
+    by_model = (F.col("own") != F.col("target")) & (F.col("margin") >= FOREIGN * ease) & (by_grams >= FOREIGN_ENOUGH * ease)
+    # the scripts that replies to each target are written in
+    scripts = rows.where((F.col("script") != "") & F.col("target").isNotNull()).groupBy("target", "script").agg(F.count("*").alias("n"))
+    scripts = scripts.groupBy("target").agg(F.max_by("script", F.struct("n", "script")).alias("usual_script"), F.max("n").alias("_n"), F.sum("n").alias("_all"))
+    scripts = scripts.where((F.col("_n") >= SCRIPT_REPLIES) & (F.col("_n") >= SCRIPT_SHARE * F.col("_all"))).select("target", "usual_script")
+    rows = rows.join(scripts, "target", "left")
+    other_script = (F.col("script") != "") & (F.col("script") != F.col("usual_script")) & (F.col("margin").isNull() | (F.col("margin") > 0))
+    foreign = F.coalesce(by_model, F.lit(False)) | F.coalesce(other_script, F.lit(False))
+    rows = rows.withColumn("foreign", foreign & F.col("target").isNotNull())
+    ratio = F.when((F.col("first_s") > 0) & (F.col("first_r") > 0), F.round(1000 * F.log(F.col("first_r") / F.col("first_s"))).cast("long"))  # of what is said once
+    sound = (F.col("defect") == "") & ~F.col("foreign")
+    seen = rows.where(sound & ratio.isNotNull()).groupBy("src", "target", ratio.alias("_ratio")).agg(F.count("*").alias("_n"))
+    upto = W.partitionBy("src", "target").orderBy("_ratio")
+    seen = seen.withColumn("_upto", F.sum("_n").over(upto)).withColumn("n", F.sum("_n").over(W.partitionBy("src", "target")))
+    usual = seen.where(2 * F.col("_upto") >= F.col("n")).groupBy("src", "target").agg((F.min("_ratio") / 1000).alias("mid"), F.max("n").alias("n"))
     prior = F.create_map(*[F.lit(x) for k, v in LETTERS.items() for x in (k, float(np.log(v)))])
     of = lambda c: F.coalesce(F.try_element_at(prior, F.col(c)), F.lit(0.0))
-    usual = usual.select("src", "target", ((F.coalesce("mid", F.lit(0.0)) * F.col("n") + PRIOR_PAIRS * (of("target") - of("src"))) / (F.col("n") + PRIOR_PAIRS)).alias("usual"))
-    rows = join_on(rows, F.broadcast(usual), ["src", "target"], "left")  # one row per pair of languages
+    usual = usual.select("src", "target", ((F.col("mid") * F.col("n") + PRIOR_PAIRS * (of("target") - of("src"))) / (F.col("n") + PRIOR_PAIRS)).alias("usual"))
+    rows = join_on(rows, usual, ["src", "target"], "left")
     looping = (F.col("all_r") > 2 * F.col("first_r")) & (F.col("all_s") > 2 * F.col("first_s"))
     once_said, in_all = F.col("first_r") / F.col("first_s"), F.col("all_r") / F.col("all_s")
     said = F.when(looping, F.greatest(once_said, in_all)).otherwise(once_said)
-    share = F.when(F.col("first_s") > 0, said / F.exp(F.coalesce(F.col("usual"), F.lit(0.0))))
-    rows = rows.withColumn("share", share)
-    broken = (F.col("share") < SURELY) | ((F.col("share") < MAYBE) & (F.col("ending") < -3.0))
+    share = F.when(F.col("first_s") > 0, said / F.exp(F.coalesce(F.col("usual"), of("target") - of("src"))))
+    rows = cut(rows.select(*keys, "defect", "foreign", "src", "own", "target", share.alias("share"), "ending", "margin", "grams", "cut_share", "cut_ending"))
+    fit = rows.where(F.col("cut_share").isNotNull() & ~F.col("foreign") & (F.col("share") > 0))
+    ns, ne = round((SHARE_MOST - SHARE_LEAST) / SHARE_STEP), len(ENDINGS) + 1
+    of_share = _share_kind(F.log("share"))
+    counted = fit.groupBy(of_share.alias("s"), _ending_kind(F.col("ending")).alias("e"), _ending_kind(F.col("cut_ending")).alias("c")).agg(F.count("*").alias("n")).collect()  # one row per kind
+    whole, endings = np.zeros((ns, ne)), np.zeros(ne)
+    for r in counted:
+        whole[r.s, r.e] += r.n
+        endings[r.c] += r.n
+    table = F.array(*[F.lit(bool(x)) for x in breaking_table(whole, endings).ravel()])
+    broken = F.when(F.col("share") > 0, F.get(table, of_share * ne + _ending_kind(F.col("ending"))))
     defect = F.when(F.col("defect") != "", F.col("defect")).when(F.col("foreign"), F.lit("wrong_lang")).when(F.coalesce(broken, F.lit(False)), F.lit("truncated"))
     return rows.select(*keys, defect.alias("defect"), "src", "own", "target", "share", "ending", "margin", "grams")
 

@@ -1,7 +1,7 @@
 """Repetition inside a single text.
 
 The share of a text's letters that belong to wording already said earlier in it. Wording is a run of
-at least three words (six characters in scripts without spaces, or in words run together), or one
+at least three words (six characters in scripts without spaces, or inside one word, which may be words run together), or one
 word or syllable said again and again. A first saying never counts.
 
 Histogram divergence (the distance of a text's character classes and common words from a language's)
@@ -11,7 +11,8 @@ is therefore not used here; see the README.
 
 from __future__ import annotations
 
-import regex
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -20,20 +21,20 @@ from cuewright.llm.text import ASCII_WORD_RE, LETTERS_RE, WORD_RE, forms, letter
 
 WORDS = 3
 CHARS = 6
-#: A word longer than this is taken for words run together.
-LONG_WORD = 40
 #: Times in a row from which a short unit counts as said many times.
 MANY = 4
-STUTTER_RE = regex.compile(r"(.{1,3}?)\1{%d,}" % (MANY - 1))
+STUTTER_RE = re.compile(r"(.{1,3}?)\1{%d,}" % (MANY - 1))
 
 
 def _repeated_units(units: list, n: int) -> list[bool]:
     """Which units lie in a run of n that began earlier, too."""
     again = [False] * len(units)
+    grams = [units[i : i + n] for i in range(len(units) - n + 1)] if isinstance(units, str) else list(zip(*(units[k:] for k in range(n))))
+    if len(set(grams)) == len(grams):  # most texts
+        return again
     seen: set = set()
     until = 0
-    for i in range(len(units) - n + 1):
-        gram = tuple(units[i : i + n]) if not isinstance(units, str) else units[i : i + n]
+    for i, gram in enumerate(grams):
         if gram in seen:
             for j in range(max(i, until), i + n):
                 again[j] = True
@@ -60,6 +61,7 @@ def repeated_letters(text: str | None) -> tuple[int, int]:
     if unspaced(t):
         return _characters("".join(LETTERS_RE.findall(t)))
     words = (ASCII_WORD_RE if t.isascii() else WORD_RE).findall(t)
+    stutters = STUTTER_RE.search(t) is not None
     sizes = [len(w) if w.isalpha() else letter_count(w) for w in words]
     again = _repeated_units(words, WORDS)
     total = sum(sizes)
@@ -67,8 +69,11 @@ def repeated_letters(text: str | None) -> tuple[int, int]:
     for w, s, a in zip(words, sizes, again):
         if a or s < MANY:
             continue
-        letters = w if w.isalpha() else "".join(LETTERS_RE.findall(w))
-        if s > LONG_WORD:
+        plain = w.isalpha()
+        if plain and s < 2 * CHARS and not stutters:
+            continue
+        letters = w if plain else "".join(LETTERS_RE.findall(w))
+        if s >= 2 * CHARS:  # a word may be words run together
             repeated += _characters(letters)[1]
         else:
             repeated += sum(len(m.group()) - len(m.group(1)) for m in STUTTER_RE.finditer(letters))
