@@ -283,12 +283,13 @@ def judged_pairs(pairs: DataFrame, keys: list[str], source: str = "source", repl
     """Every pair with its defect (null if sound), the languages found and the share of expected letters.
 
     Fits the language model and the model of breaking off on bounded samples of replies, counts endings over all
-    replies (small jobs when called), takes the usual length ratio of every pair of languages, as the exact median of ratios in
+    replies (a checkpoint of the pairs and small jobs when called), takes the usual length ratio of every pair of languages, as the exact median of ratios in
     thousandths, and the script of every target from all pairs, then judges each pair. A null or blank reply is empty; a null
     target is never 'wrong_lang', a target too rare for the language model only by script; a source without letters never makes a reply
     truncated or copied.
     """
     spark = pairs.sparkSession
+    pairs = cut(pairs.select(*dict.fromkeys([*keys, source, reply, target])))  # read to count, to fit twice and to judge
     model = train_language_model(pairs, reply, target, train_rows)
     given = spark.sparkContext.broadcast(model)
     ending = spark.sparkContext.broadcast(train_end_model(pairs, reply))

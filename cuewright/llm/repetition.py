@@ -73,10 +73,10 @@ def repeated_letters(text: str | None) -> tuple[int, int]:
         if plain and s < 2 * CHARS and not stutters:
             continue
         letters = w if plain else "".join(LETTERS_RE.findall(w))
-        if s >= 2 * CHARS:  # a word may be words run together
-            repeated += _characters(letters)[1]
-        else:
-            repeated += sum(len(m.group()) - len(m.group(1)) for m in STUTTER_RE.finditer(letters))
+        said = STUTTER_RE.sub(r"\1", letters)
+        repeated += len(letters) - len(said)
+        if len(said) >= 2 * CHARS:  # words may be run together
+            repeated += sum(_repeated_units(said, CHARS))
     return total, repeated
 
 
