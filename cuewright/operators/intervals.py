@@ -1,11 +1,12 @@
 """Merging of overlapping intervals and the gaps between them, by dyadic blocks.
 
-Every interval is cut at chunks of 2**18 ms. Inside a chunk the intervals are decomposed into
-canonical dyadic blocks; blocks below a covering block are removed, sibling pairs are merged
-upward and adjacent blocks are coalesced (all in numpy, for many chunks at once). Each chunk
-then hands only its first and last run to the next level, where 1024 sibling chunks are put
-together, and so on: no task ever sees a whole source, and a source of any length needs three
-small further levels.
+Every interval belongs to the chunk of 2**18 ms in which it begins, and is cut at that chunk's end. Inside a
+chunk the intervals are decomposed into canonical dyadic blocks; blocks below a covering block are removed,
+sibling pairs are merged upward and adjacent blocks are coalesced (all in numpy, for many chunks at once). What
+reaches beyond a chunk is one number, the latest end so far, carried over the chunks that hold anything; so an
+interval costs the same whatever its length. Each chunk then hands only its first and last run to the next level,
+where 4096 sibling chunks are put together, and so on: no task ever sees a whole source, and a source of any
+length needs three small further levels.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuewright.operators.keys import TAKE, ms
+from cuewright.operators.keys import TAKE, carried, ms
 from cuewright.session import cut
 
 CHUNK_BITS = 18
-LEVEL_BITS = 10
-TOP_BITS = 48
+LEVEL_BITS = 12
+TOP_BITS = 54
+#: Whole milliseconds up to here are exact in a double; nothing beyond is a time.
+LATEST = 2**53
 #: Intervals handled by numpy at once.
 SLICE = 200_000
 
@@ -150,10 +153,11 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start_ms: str, end_ms: str,
     """Continuous periods and the gaps between them, per keys.
 
     Input: intervals [start_ms, end_ms) in whole ms; rows with a null bound, a negative start or an
-    end not after the start are not intervals and are left out, as is anything beyond 2**48 ms.
+    end not after the start are not intervals and are left out, as is anything beyond 2**53 ms, where
+    doubles have no whole milliseconds.
     Intervals at most max_silence_ms apart belong to one period. Result: keys, kind ('period' or
     'gap'), from_ms, to_ms. Repeated rows change nothing; null keys form a source; an empty
-    table gives an empty result. Runs the decomposition when called (one checkpoint). An interval is cut into one piece per 2**18 ms of its length.
+    table gives an empty result. Runs the decomposition when called (two checkpoints of the runs of chunks).
     """
     run = T.ArrayType(T.StructType([T.StructField("f", T.LongType()), T.StructField("t", T.LongType())]))
     key_fields = [df.schema[k] for k in keys]
@@ -161,33 +165,41 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start_ms: str, end_ms: str,
     s, e = F.col("_s"), F.col("_e")
     wide = (
         df.select(*keys, F.col(start_ms).cast("long").alias("_s"), F.col(end_ms).cast("long").alias("_e"))
-        .where((s >= 0) & (e > s) & (e < 2**TOP_BITS - max_silence_ms))
+        .where((s >= 0) & (e > s) & (e <= LATEST))
         .groupBy(*keys, "_s")
         .agg((F.max("_e") + max_silence_ms).alias("_e"))
     )
     size = 1 << CHUNK_BITS
     c = F.col("chunk")
     pieces = (
-        wide.withColumn("chunk", F.explode(F.sequence(F.shiftright(s, CHUNK_BITS), F.shiftright(e - 1, CHUNK_BITS))))
-        .select(
-            *keys,
-            "chunk",
-            F.struct(
-                F.greatest(s - c * size, F.lit(0)).cast("int").alias("s"),
-                F.least(e - c * size, F.lit(size)).cast("int").alias("e"),
-            ).alias("p"),
-        )
+        wide.withColumn("chunk", F.shiftright(s, CHUNK_BITS))
         .groupBy(*keys, "chunk")
-        .agg(F.collect_list("p").alias("pieces"))
+        .agg(
+            F.collect_list(F.struct((s - c * size).cast("int").alias("s"), F.least(e - c * size, F.lit(size)).cast("int").alias("e"))).alias("pieces"),
+            F.max("_e").alias("upto"),
+        )
     )
-    runs = pieces.mapInArrow(_runs_of_chunks, T.StructType([*key_fields, chunk, T.StructField("runs", run)]))
+    upto = T.StructField("upto", T.LongType())
+    runs = cut(pieces.mapInArrow(_runs_of_chunks, T.StructType([*key_fields, chunk, upto, T.StructField("runs", run)])))
+    # what earlier chunks reach into this one joins its runs; what reaches beyond this one prolongs its last
+    begin = c * size
+    into = F.coalesce(F.greatest(F.col("carried"), begin), begin)
+    covered = F.least(into, begin + size)
+    left = F.filter("runs", lambda r: r.t > covered)
+    touches = F.coalesce(F.get(left, F.lit(0)).f <= covered, F.lit(False))
+    pair = lambda f, t: F.struct(f.alias("f"), t.alias("t"))
+    joined = F.when(into <= begin, F.col("runs")).when(touches, F.concat(F.array(pair(begin, F.get(left, F.lit(0)).t)), F.slice(left, F.lit(2), F.greatest(F.size(left) - 1, F.lit(0))))).otherwise(F.concat(F.array(pair(begin, covered)), left))
+    farthest = F.greatest("upto", into)
+    longer = F.concat(F.slice("runs", F.lit(1), F.size("runs") - 1), F.array(pair(F.element_at("runs", -1).f, farthest)))
+    runs = carried(runs, keys, "chunk", "upto", best=F.max).withColumn("runs", joined)
+    runs = runs.select(*keys, "chunk", F.when(farthest > begin + size, longer).otherwise(F.col("runs")).alias("runs"))
     first, last = F.col("runs")[0], F.element_at("runs", -1)
     nodes = F.struct(first.f.alias("af"), first.t.alias("at"), last.f.alias("bf"), last.t.alias("bt"))
     level = runs.select(
         *keys,
         "chunk",
         nodes.alias("node"),
-        F.when(F.size("runs") > 2, F.slice("runs", F.lit(2), F.size("runs") - 2)).alias("periods"),
+        F.when(F.size("runs") > 2, F.slice("runs", F.lit(2), F.greatest(F.size("runs") - 2, F.lit(0)))).alias("periods"),
         F.transform(
             F.slice("runs", F.lit(2), F.size("runs")),
             lambda x, i: F.struct(F.get("runs", i).t.alias("f"), x.f.alias("t")),

@@ -7,6 +7,7 @@ where a result depends on them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -40,9 +41,9 @@ def join_on(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") ->
 
 
 def ms(seconds: Column | str) -> Column:
-    """Whole milliseconds of seconds, rounded half up; null for null, NaN and infinities."""
+    """Whole milliseconds of seconds, rounded half up; null for null, NaN, infinities and what has no whole milliseconds in a double (from 2**53 ms on)."""
     c = F.col(seconds) if isinstance(seconds, str) else seconds
-    ok = c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(2.0**48 / 1000))
+    ok = c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(2.0**53 / 1000))
     return F.when(ok, F.round(c * 1000).cast("long"))
 
 
@@ -75,18 +76,19 @@ def spread_over_blocks(per_source: DataFrame, first_pos: str, last_pos: str, siz
     return per_source.withColumn("block", F.explode(F.sequence(lo, hi)))
 
 
-def carried(df: DataFrame, keys: list[str], block: str, value: str, fan: int = 1024) -> DataFrame:
-    """Adds `carried`: the value of the nearest earlier block of the same source that has one.
+def carried(df: DataFrame, keys: list[str], block: str, value: str, fan: int = 1024, best: Callable[[str], Column] | None = None) -> DataFrame:
+    """Adds `carried`: the value of the nearest earlier block of the same source that has one, or, with best=F.max, the largest of all earlier blocks.
 
     df holds one row per source and block. Windows run over groups of `fan` blocks, then over the groups,
     so that no window holds more than `fan` blocks or one row per group of a source.
     """
     group = F.floor(F.col(block) / F.lit(fan)).cast("long")
     df = df.withColumn("_group", group)
+    over = best or (lambda c: F.last(c, ignorenulls=True))
     w = W.partitionBy(*keys, "_group").orderBy(block).rowsBetween(W.unboundedPreceding, -1)
-    near = df.withColumn("_near", F.last(value, ignorenulls=True).over(w))
-    last = df.where(F.col(value).isNotNull()).groupBy(*keys, "_group").agg(F.max_by(value, block).alias("_last"))
+    near = df.withColumn("_near", over(value).over(w))
+    last = df.where(F.col(value).isNotNull()).groupBy(*keys, "_group").agg((best(value) if best else F.max_by(value, block)).alias("_last"))
     everyone = join_on(df.select(*keys, "_group").distinct(), last, [*keys, "_group"], "left")
     far = W.partitionBy(*keys).orderBy("_group").rowsBetween(W.unboundedPreceding, -1)
-    everyone = everyone.select(*keys, "_group", F.last("_last", ignorenulls=True).over(far).alias("_far"))
-    return join_on(near, everyone, [*keys, "_group"], "left").withColumn("carried", F.coalesce("_near", "_far")).drop("_near", "_far", "_group")
+    everyone = everyone.select(*keys, "_group", over("_last").over(far).alias("_far"))
+    return join_on(near, everyone, [*keys, "_group"], "left").withColumn("carried", F.greatest("_near", "_far") if best else F.coalesce("_near", "_far")).drop("_near", "_far", "_group")

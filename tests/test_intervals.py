@@ -66,3 +66,21 @@ def test_order_does_not_matter(spark, rows, order):
     data = [("a", 0, i * 700, i * 700 + 300, "k", 1, 1) for i in range(50)][::order]
     got = I.periods_and_gaps(spark.createDataFrame(data, SCHEMA), ["media_id", "take_no"], "s", "e", 399)
     assert len(rows(got)) == 99
+
+
+def test_long_intervals_cost_no_more(spark, rows):
+    """Intervals over many chunks and levels, nested, overlapping and up to the last exact time, against brute force."""
+    rng = np.random.default_rng(7)
+    data, want = [], []
+    for take in range(6):
+        items = []
+        for _ in range(60):
+            a = int(rng.integers(0, 2 ** int(rng.integers(10, 45))))
+            items.append((a, a + int(2 ** rng.uniform(0, 40 if take % 2 else 25))))
+        items += [(2**52 + 3, 2**53 - 1), (2**53 - 5, 2**53)] if take == 5 else [(2**47, 2**52)] if take == 4 else []
+        gap = 0
+        data += [("m", take, a, b, "x", 9, 1) for a, b in items]
+        runs = brute(items, gap)
+        want += [("m", take, "period", *r) for r in runs] + [("m", take, "gap", x[1], y[0]) for x, y in zip(runs, runs[1:])]
+    got = I.periods_and_gaps(spark.createDataFrame(data, SCHEMA), ["media_id", "take_no"], "s", "e", 0)
+    assert rows(got) == sorted(want, key=repr)
