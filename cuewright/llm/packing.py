@@ -12,10 +12,8 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
 
 import numpy as np
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,9 +27,6 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: Ranks are counted in salted parts of each length, so that a very common length is no hot key: one part per so many
 #: pieces in all, within these bounds.
 PER_SALT, SALTS = 1_000_000, (64, 4096)
-#: A piece of the pattern longer than this is tokenized in parts of this many; the merging is slow on long runs.
-PART = 20_000
-_PIECE_RE = regex.compile(PATTERN)
 
 
 def _encoding(path: str):
@@ -42,24 +37,6 @@ def _encoding(path: str):
     return tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _parts(text: str) -> Iterator[str]:
-    """The text in stretches of about PART that tokenize as the whole does; only a piece of the pattern longer than PART is cut inside."""
-    if len(text) <= PART:
-        yield text
-        return
-    a = 0
-    for m in _PIECE_RE.finditer(text):
-        # after a blank the pattern looks ahead, so no stretch ends with one
-        if m.start() > a and (m.end() - a > PART) and not text[m.start() - 1].isspace():
-            yield text[a : m.start()]
-            a = m.start()
-        while m.end() - a > PART and not m.group().isspace() and a >= m.start():
-            yield text[a : a + PART]
-            a += PART
-    if a < len(text):
-        yield text[a:]
-
-
 def token_counts(df: DataFrame, text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """Adds `tokens`, the length of the text in tokens of the given vocabulary; 0 for null and empty texts."""
     keep = [c for c in df.columns if c not in (text, "tokens")]
@@ -70,7 +47,7 @@ def token_counts(df: DataFrame, text: str = "text", tokenizer: str = TOKENIZER)
 
         enc = _encoding(tokenizer)
         for b in batches:
-            n = [sum(len(enc.encode_ordinary(x)) for x in _parts(t)) if t else 0 for t in b.column(text).to_pylist()]
+            n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n, pa.int32())], names=[*keep, "tokens"])
 
     return df.select(*keep, text).mapInArrow(run, made)
@@ -122,23 +99,25 @@ def _fullest(left: dict[int, int], room: int) -> dict[int, int]:
 
 
 def pack(df: DataFrame, key: str, text: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Every text's place: key, piece, tok_from, tok_to, tokens, bin.
+    """Every text's place: key, digest, piece, tok_from, tok_to, tokens, bin.
 
     A text is split, into pieces of the capacity and a rest, only if it exceeds the capacity. No bin holds
     more than the capacity. Texts of 0 tokens take no room and get bin null; repeated rows of a key are
-    packed once, of differing rows the shortest; a null key is one key. Runs token counting when called (one checkpoint).
+    packed once; rows of one key, or of none, whose texts differ are all packed, told apart by digest (MD5 of the text, null for
+    null). Runs token counting when called (one checkpoint).
     """
     from cuewright.session import cut
 
     if capacity < 1:
         raise ValueError("the capacity must be at least 1")
-    sized = cut(token_counts(df.select(key, text), text, tokenizer).groupBy(key).agg(F.min("tokens").alias("tokens")))
+    named = df.select(key, F.md5(text).alias("digest"), F.col(text).alias("_text"))
+    sized = cut(token_counts(named, "_text", tokenizer).groupBy(key, "digest").agg(F.min("tokens").alias("tokens")))
     parts = F.greatest(F.ceil(F.col("tokens") / capacity), F.lit(1)).cast("int")
-    pieces = sized.select(key, "tokens", F.explode(F.sequence(F.lit(0), parts - 1)).alias("piece"))
+    pieces = sized.select(key, "digest", "tokens", F.explode(F.sequence(F.lit(0), parts - 1)).alias("piece"))
     lo = F.col("piece") * capacity
-    pieces = pieces.select(key, "piece", lo.alias("tok_from"), F.least(lo + capacity, F.col("tokens")).alias("tok_to"))
+    pieces = pieces.select(key, "digest", "piece", lo.alias("tok_from"), F.least(lo + capacity, F.col("tokens")).alias("tok_to"))
     salts = int(min(max(sized.count() // PER_SALT, SALTS[0]), SALTS[1]))
-    pieces = pieces.withColumn("tokens", F.col("tok_to") - F.col("tok_from")).withColumn("_salt", F.pmod(F.xxhash64(key, "piece"), F.lit(salts)).cast("int"))
+    pieces = pieces.withColumn("tokens", F.col("tok_to") - F.col("tok_from")).withColumn("_salt", F.pmod(F.xxhash64(key, "digest", "piece"), F.lit(salts)).cast("int"))
     salted = pieces.groupBy("tokens", "_salt").agg(F.count("*").alias("n")).toArrow()  # at most capacity x salts rows
     table = np.zeros((capacity + 1, salts), np.int64)
     table[salted.column("tokens").to_numpy(), salted.column("_salt").to_numpy()] = salted.column("n").to_numpy()
@@ -154,9 +133,9 @@ def pack(df: DataFrame, key: str, text: str = "text", capacity: int = CAPACITY,
             taken[n] = taken.get(n, 0) + k * times
         bins += times
     given = df.sparkSession.sparkContext.broadcast((starts, {n: tuple(np.array(x) for x in zip(*p)) for n, p in places.items()}))
-    rank = F.row_number().over(W.partitionBy("tokens", "_salt").orderBy(key, "piece")) - 1
+    rank = F.row_number().over(W.partitionBy("tokens", "_salt").orderBy(key, "digest", "piece")) - 1
     ranked = pieces.withColumn("_rank", rank)
-    made = T.StructType([df.schema[key], *(ranked.schema[c] for c in ("piece", "tok_from", "tok_to", "tokens")), T.StructField("bin", T.LongType())])
+    made = T.StructType([df.schema[key], *(ranked.schema[c] for c in ("digest", "piece", "tok_from", "tok_to", "tokens")), T.StructField("bin", T.LongType())])
 
     def run(batches):
         import pyarrow as pa
@@ -172,6 +151,6 @@ def pack(df: DataFrame, key: str, text: str = "text", capacity: int = CAPACITY,
                     first, base, each = places[int(length)]
                     i = np.searchsorted(first, r[rows], "right") - 1
                     at[rows] = base[i] + (r[rows] - first[i]) // each[i]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (key, "piece", "tok_from", "tok_to", "tokens")), pa.array(at, pa.int64(), mask=at < 0)], names=made.names)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (key, "digest", "piece", "tok_from", "tok_to", "tokens")), pa.array(at, pa.int64(), mask=at < 0)], names=made.names)
 
     return ranked.mapInArrow(run, made)

@@ -1,7 +1,9 @@
 """Splitting oversized segments at natural boundaries, by packing a structure tree.
 
-A text is a tree: lines, sentences, clauses, words, characters. Only nodes over the limits are
-opened; the pieces of opened nodes are merged with their left neighbours while they fit.
+A text is a tree: sections under headings (a level for each depth of heading), paragraphs, list items (a level for each
+indentation), lines, sentences, clauses, words, characters. Sibling nodes are merged while they fit together; only nodes over the
+limits are opened. What comes of an opened section, paragraph or item stays by itself, so that no heading ends a piece that its text
+does not begin; parts of sentences and clauses go on filling the piece before them.
 """
 
 from __future__ import annotations
@@ -13,20 +15,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cuewright.llm.sentences import THRESHOLD, decide
 from cuewright.llm.text import CLOSERS, FINAL, UNSPACED_RE
 from cuewright.operators.keys import join_on, ms
 
 MAX_CHARS, MAX_WORDS, MAX_MS = 120, 30, 9000
-#: Where a node of each level ends, from the outermost level to the innermost.
-LEVELS = [
-    regex.compile(r"\n+"),
-    regex.compile(rf"(?:[.!?…]+[{CLOSERS}]*|[…]+)(?=\s)\s*|[{FINAL.replace('.', '').replace('!', '').replace('?', '').replace('…', '')}]+[{CLOSERS}]*\s*"),
-    regex.compile(r"[,;:，、；：،؛—–](?=\s)\s*|[，、；：،؛]"),
-    regex.compile(r"\s+"),
-]
+#: Deepest heading and list indentation that make a level of their own.
+HEADINGS, INDENTS = 6, 3
+HEADING_RE = regex.compile(r"(?m)^[ \t]*(#{1,6})[ \t]+\S.*$")
+ITEM_RE = regex.compile(r"(?m)^([ \t]*)(?:[-*+•‣◦]|\d{1,3}[.)])[ \t]+\S")
+PARAGRAPH_RE = regex.compile(r"\n[ \t\r]*\n\s*")
+LINE_RE = regex.compile(r"\n+")
+SENTENCE_RE = regex.compile(rf"(?:[.!?…]+[{CLOSERS}]*|[…]+)(?=\s)\s*|[{FINAL.replace('.', '').replace('!', '').replace('?', '').replace('…', '')}]+[{CLOSERS}]*\s*")
+CLAUSE_RE = regex.compile(r"[,;:，、；：،؛—–](?=\s)\s*|[，、；：،؛]")
+BLANK_RE = regex.compile(r"\s+")
 CHARACTER_RE = regex.compile(r"\X")
 
 
+def _sentence_cuts(text: str) -> list[int]:
+    """Where sentences begin: at marks, but for those that the sentence operator's stated odds let go on (abbreviations, quotations)."""
+    found = [m.end() for m in SENTENCE_RE.finditer(text)]
+    if not found:
+        return found
+    spans = [m.span() for m in regex.finditer(r"\S+", text)]
+    p = decide([text[a:b] for a, b in spans], [0] * len(spans), None)
+    ends = {a: p[i - 1] >= THRESHOLD for i, (a, _) in enumerate(spans) if i}
+    return [c for c in found if ends.get(c, True)]
+
+
+def structure(text: str) -> list[list[int]]:
+    """Where nodes of each level begin, from the outermost level to the innermost; the last two are sentences' inner levels."""
+    heads = [(m.start(), len(m.group(1))) for m in HEADING_RE.finditer(text)]
+    levels = [[at for at, depth in heads if depth <= d] for d in range(1, HEADINGS + 1)] if heads else []
+    of_head = {m.end() for m in HEADING_RE.finditer(text)}
+    levels.append([m.end() for m in PARAGRAPH_RE.finditer(text) if m.start() not in of_head])
+    items = [(m.start(), len(m.group(1).expandtabs(4)) // 2) for m in ITEM_RE.finditer(text)]
+    levels += [[at for at, deep in items if deep <= d] for d in range(INDENTS)] if items else []
+    levels.append([m.end() for m in LINE_RE.finditer(text)])
+    return levels
+
+
 class _Piecer:
     """Cuts one text. words: (text, start ms, end ms) in order, or None to place times by character."""
 
@@ -48,9 +76,15 @@ class _Piecer:
             units = [s for a, b in self.spaced for s in ([m.span() for m in CHARACTER_RE.finditer(text, a, b)] if UNSPACED_RE.search(text[a:b]) else [(a, b)])]
         self.unit_starts = [a for a, _ in units]
         self.unit_ends = [b for _, b in units]
+        ink = [m.span() for m in regex.finditer(r"\S+", text)]
+        self.ink_starts, self.ink_ends = [a for a, _ in ink], [b for _, b in ink]
         self.space_starts = [a for a, _ in self.spaced]
         self.space_ends = [b for _, b in self.spaced]
-        self.cuts = [[m.end() for m in r.finditer(text)] for r in LEVELS]
+        self.cuts = structure(text)
+        self.firm = len(self.cuts)  # levels whose opened nodes stay by themselves
+        sentences, blanks = _sentence_cuts(text), [m.end() for m in BLANK_RE.finditer(text)]
+        bound = {m.end() for m in SENTENCE_RE.finditer(text)} - set(sentences)  # after an abbreviation, and the like
+        self.cuts += [sentences, [m.end() for m in CLAUSE_RE.finditer(text)], [c for c in blanks if c not in bound], blanks]
         self.cuts.append(self.unit_starts[1:])
         self.cuts.append(None)  # characters, found when needed
         self.seen: dict = {}
@@ -76,14 +110,14 @@ class _Piecer:
         return self.start + span * a // len(self.text), self.start + span * b // len(self.text)
 
     def trimmed(self, a: int, b: int) -> tuple[int, int]:
-        t = self.text[a:b]
-        return a + len(t) - len(t.lstrip()), b - (len(t) - len(t.rstrip()))
+        """The stretch without the blanks around it; an empty one where it is all blank."""
+        i, j = bisect_right(self.ink_ends, a), bisect_left(self.ink_starts, b) - 1
+        return (max(a, self.ink_starts[i]), min(b, self.ink_ends[j])) if i <= j else (a, a)
 
     def within(self, a: int, b: int) -> bool:
-        if b - a > self.max_chars:
-            a2, b2 = self.trimmed(a, b) if b - a <= self.max_chars + 64 else (a, b)
-            if b2 - a2 > self.max_chars:
-                return False
+        x, y = self.trimmed(a, b)
+        if y - x > self.max_chars:
+            return False
         if bisect_left(self.space_starts, b) - bisect_right(self.space_ends, a) > self.max_words:
             return False
         s, e = self.times(a, b)
@@ -106,12 +140,17 @@ class _Piecer:
         if level == len(self.cuts):
             return [(a, b)]
         out: list[tuple[int, int]] = []
+        closed = False  # what the last piece came from was opened, and stays by itself
         for x, y in zip([a, *inner], [*inner, b]):
-            for p in self.pack(x, y, level + 1):
-                if out and (self.fits(out[-1][0], p[1]) or not self.text[p[0] : p[1]].strip()):
+            made = self.pack(x, y, level + 1)
+            opened = len(made) > 1 and level < self.firm
+            for k, p in enumerate(made):
+                blank = not self.text[p[0] : p[1]].strip()
+                if out and (blank or (not (opened or closed) and self.fits(out[-1][0], p[1]))):
                     out[-1] = (out[-1][0], p[1])
                 else:
                     out.append(p)
+            closed = opened
         return out
 
     def pieces(self) -> list[dict]:

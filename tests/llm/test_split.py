@@ -73,3 +73,31 @@ def test_edges(spark):
 def test_very_long_text(spark):
     got = cut(spark, [("m", 1, "the boat left, " * 20_000, None, None)])
     assert all(p.within for p in got) and sum(len(p.text.split()) for p in got) == 60_000
+
+
+def test_blanks_of_any_length_do_not_count():
+    text = "a" * 118 + " " * 500 + "b" + " " * 300
+    piecer = Sp._Piecer(text, None, None, None, (120, 30, 9000), 0)
+    assert piecer.trimmed(0, 400) == (0, 118) and piecer.within(0, 400) and not piecer.within(0, len(text))
+    assert piecer.trimmed(200, 300) == (200, 200) and piecer.within(200, 300)
+
+
+def pieces(text, chars=60, **kw):
+    return [p["text"] for p in Sp._Piecer(text, None, None, None, (chars, kw.pop("words", 30), 9000), kw.pop("overlap", 0)).pieces()]
+
+
+def test_headings_and_lists_are_nodes():
+    text = "# One\n\n- the boat left the pier\n- the storm came at noon\n- nobody saw it\n\n## Heading two\n\nThe guide slept. The mill stood still.\n\n# Three\nshort"
+    got = pieces(text)
+    assert all(len(p) <= 60 for p in got) and not any(p.rstrip().endswith("Heading two") and "boat" in p for p in got)
+    assert not any("nobody" in p and "Heading two" in p for p in got) and any(p.startswith("## Heading two\n\nThe guide slept.") for p in got)
+    assert "".join("".join(p.split()) for p in got) == "".join(text.split())
+    assert pieces("# A\nx\n\n# B\ny") == ["# A\nx\n\n# B\ny"]  # siblings merge while they fit
+    nested = "- fruit\n  - apples from the hill\n  - pears from the yard\n- tools\n  - a long iron key\n  - an old copper lamp"
+    assert pieces(nested, 58) == ["- fruit\n  - apples from the hill\n  - pears from the yard", "- tools\n  - a long iron key\n  - an old copper lamp"]
+
+
+def test_abbreviations_are_no_cuts():
+    text = "We walked slowly along the wet stone pier and met Dr. Smith there at 6 p.m. before dinner. Then it rained."
+    assert not any(p.endswith("Dr.") for p in pieces(text, 54))
+    assert pieces("He met Dr. Smith. It rained all day.", 20)[0] == "He met Dr. Smith."

@@ -26,7 +26,15 @@ def test_long_texts_count_as_the_tokenizer_does(spark):
     enc = P._encoding(P.TOKENIZER)
     got = P.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id: r.tokens for r in got} == {i: len(enc.encode_ordinary(t)) for i, t in enumerate(texts)}
-    assert "".join(P._parts("y" * 50_000 + " z")) == "y" * 50_000 + " z" and max(map(len, P._parts("y" * 50_000))) <= P.PART
+
+
+@pytest.mark.skipif(not os.path.exists(P.TOKENIZER), reason="no vocabulary")
+def test_every_text_of_a_key_is_packed(spark):
+    docs = [(1, "a"), (1, "the boat left"), (1, "a"), (None, "one"), (None, "two three"), (None, None), (2, "y" * 300_000)]
+    got = P.pack(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", capacity=64).collect()
+    assert len({(r.doc_id, r.digest) for r in got}) == 6 and len([r for r in got if r.doc_id is None]) == 3
+    enc = P._encoding(P.TOKENIZER)
+    assert sum(r.tokens for r in got) == sum(len(enc.encode_ordinary(t)) for t in ("a", "the boat left", "one", "two three", "y" * 300_000))
 
 
 def test_unspaced_leak_with_latin_words_and_blanks(spark):
@@ -72,3 +80,37 @@ def test_thresholds_follow_language_and_source(spark):
 def test_the_end_is_read_as_far_as_it_takes():
     """Marks and figures beyond any fixed number of characters do not hide the last letters."""
     assert Tr._end_view("the old boat left " + "* " * 5000, Tr.sentence_view).endswith("old boat left")
+
+
+def test_leaks_in_parts_are_the_leaks_in_one(spark, rows):
+    """Several groups of items and several automata of each find what one automaton finds."""
+    import random
+
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(5, 60)))) for i in range(30)] + [(99, " ".join(rng.choices(vocabulary, k=3000)))]
+    docs = []
+    for d in range(80):
+        words = rng.choices(vocabulary, k=60)
+        if d % 2:
+            _, t = rng.choice(items)
+            w = t.split()
+            a = rng.randrange(max(1, len(w) - 20))
+            words[20:20] = w[a : a + rng.randint(8, 20)]
+        docs.append((d, " ".join(words)))
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one = rows(Le.leaks(df, it))
+    assert len(one) > 20 and rows(Le.leaks(df, it, group_chars=6_000, automaton_chars=1_500)) == one
+    sizes = [len(Le._automaton(items, 12, 24, k, 4)) for k in range(4)]
+    assert sum(sizes) == len(Le._automaton(items, 12, 24)) and max(sizes) < 2 * min(sizes)
+
+
+def test_spans_of_accents_written_apart():
+    import unicodedata
+
+    text = "Voilà — « l'été dernier, le vieux potier a trouvé un sifflet près du pont de pierre » dit-il."
+    apart = unicodedata.normalize("NFD", text)
+    p = sorted(Le.passages("l'été dernier, le vieux potier a trouvé un sifflet près du pont de pierre"))[0]
+    for t in (text, apart, text.replace("fi", "ﬁ")):
+        a, b = Le.original_span(t, p)
+        assert 0 < a < b < len(t) and Le.plain(t[a:b]).replace(" ", "") == p.replace(" ", "")
