@@ -90,7 +90,7 @@ def flag_implausible(
                   source and a spike exceeds spike_ratio times its median; with half_window k the
                   median and its absolute deviation roll over the k rows on both sides, and a
                   spike lies more than `mads` scaled deviations (1.4826 each, and at least a
-                  twentieth of the median) above the median,
+                  twentieth of the median) from the median, above or below,
       else stuck  in a run of stuck_run or more consecutive positions with equal measurements.
     Medians are taken over measurements that are not below at_least. Result: keys, pos, value, defect.
     Rows without measurement or position
@@ -115,7 +115,7 @@ def flag_implausible(
         good = F.when(~F.col("_bad"), v)
         med, mad = rolling_hampel(w, good, half_window)
         rows = rows.select("*", med.alias("med"), mad.alias("mad")).where("core")
-        spike = v > F.col("med") + mads * F.greatest(1.4826 * F.col("mad"), 0.05 * F.col("med"))
+        spike = F.abs(v - F.col("med")) > mads * F.greatest(1.4826 * F.col("mad"), 0.05 * F.col("med"))
     defect = (
         F.when(F.col("_bad"), F.lit("impossible"))
         .when(F.coalesce(spike, F.lit(False)), F.lit("spike"))

@@ -249,6 +249,7 @@ def parts_of(w: Column, cuts: Column) -> Column:
 # recursive splits, in Python -----------------------------------------------------------------------
 
 _FRAGILE, _STARTERS, _SUBJECTS = set(lexicon.FRAGILE), set(lexicon.CLAUSE_STARTERS), set(lexicon.CLAUSE_SUBJECTS)
+_COMMA_STARTERS = _STARTERS | set(lexicon.ELABORATION_STARTERS)
 
 
 def _root(word: str, trailing: str = ",.") -> str:
@@ -368,6 +369,113 @@ def run_on_cuts(words: list[str], times: list[tuple[int, int]], candidates: list
     return sorted(out)
 
 
+def rule_cuts(words: list[str], starts: list, ends: list, pairs: set[tuple[str, str]], min_words: int = MIN_WORDS) -> list[int]:
+    """All cuts of one group: at commas between clauses; in parts over the limits before conjunctions; in what is still over them by words
+    or characters wherever it has to be. The same as comma_cuts, conjunction_cuts and emergency_cuts one after the other, in
+    time that grows with the words of a group, whatever its length.
+    """
+    import re
+
+    n = len(words)
+    low = [w.strip().lower().rstrip(".,!?;'\"") for w in words]
+    joins = [n] * (n + 1)  # the nearest and/or from each word on
+    for i in range(n - 1, -1, -1):
+        joins[i] = i if low[i] in ("and", "or") else joins[i + 1]
+
+    def listed(a: int, b: int) -> bool:
+        """Whether the words from a up to b go on as a list."""
+        if a < b and low[a].split("'")[0] in _SUBJECTS:
+            return False
+        j = joins[a] if a < n else n
+        return j < b - 1 and not any(low[x] in _STARTERS or low[x] == "to" for x in range(j + 1, min(j + 3, b)))
+
+    # commas, from right to left
+    commas: list[int] = []
+    stop, end = n - 1, n  # the next comma after the one looked at; where what is left ends
+    found: list[int] = []
+    for i in range(n - 1, -1, -1):
+        if words[i].endswith(",") and i < n - 1 and _root(words[i + 1]) in _COMMA_STARTERS and not listed(i + 1, stop + 1):
+            found.append(i)
+        if words[i].strip().endswith(","):
+            stop = i
+    for i in found:
+        if i >= min_words and end - i - 1 >= min_words:
+            commas.append(i + 1)
+            end = i + 1
+    commas.reverse()
+
+    def size(a: int, b: int) -> tuple[int, int]:
+        return b - a, sum(len(w) + 1 for w in words[a:b])
+
+    out: list[int] = []
+    for a, b in zip([0, *commas], [*commas, n]):
+        if a:
+            out.append(a)
+        many, chars = size(a, b)
+        last = ends[b - 1] if ends[b - 1] is not None else starts[b - 1]
+        long = many > MAX_WORDS or chars > MAX_CHARS or (last is not None and starts[a] is not None and last - starts[a] > MAX_MS)
+        before: list[int] = []
+        if long:
+            end = b
+            for i in range(b - 1, a - 1, -1):
+                word = words[i].lower().rstrip(",.")
+                if word != "but" and not (word in ("and", "or", "so") and i + 1 < b and _root(words[i + 1]) in _STARTERS):
+                    continue
+                if not (i - a >= min_words and end - i >= min_words):
+                    continue
+                if i > a and not re.search(r"[.?!]\s*\Z", words[i - 1]) and (_pair_word(words[i - 1]), _pair_word(words[i])) in pairs:
+                    continue
+                if word in ("and", "or") and listed(i + 1, b):
+                    continue
+                before.append(i)
+                end = i
+            before.reverse()
+        for x, y in zip([a, *before], [*before, b]):
+            if x > a:
+                out.append(x)
+            many, chars = size(x, y)
+            if many > MAX_WORDS or chars > MAX_CHARS:
+                out += [x + c for c in emergency_cuts(words[x:y], min_words=min_words)]
+    return out
+
+
+def _pair_word(word: str) -> str:
+    import re
+
+    return re.sub(r"'(s|re|ve|m|ll|d|t)\Z", "", word.strip().lower().rstrip(".,!?;:'\""))
+
+
+def cut_into_cues(df: DataFrame, keys: list[str], column: str, when: str, fn: Callable[[list, list, list], list[int]]) -> DataFrame:
+    """One cue per part of each row's words (pos, text, s_ms, e_ms): keys, ws, we, start_ms, end_ms, text.
+
+    A Python function finds the cuts where `when` holds; elsewhere a row is one cue.
+    """
+    f = T.StructField
+    made = T.StructType([*(df.schema[k] for k in keys), f("ws", T.IntegerType()), f("we", T.IntegerType()), f("start_ms", T.LongType()), f("end_ms", T.LongType()), f("text", T.StringType())])
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+        for b in batches:
+            col = b.column(column)
+            at = col.offsets.to_pylist()
+            pos, text, start, end = (col.values.field(c) for c in ("pos", "text", "s_ms", "e_ms"))
+            of: list[int] = []
+            out: list[list] = [[] for _ in kinds]
+            for row, (x, y, yes) in enumerate(zip(at, at[1:], b.column(when).to_pylist())):
+                p, t, s, e = (f.slice(x, y - x).to_pylist() for f in (pos, text, start, end))
+                cuts = fn(t, s, e) if yes and y > x + 1 else []
+                for i, j in zip([0, *cuts], [*cuts, y - x]):
+                    of.append(row)
+                    for o, v in zip(out, (p[i], p[j - 1] + 1, s[i], s[j - 1] if e[j - 1] is None else e[j - 1], " ".join(t[i:j]))):
+                        o.append(v)
+            take = pa.array(of, pa.int32())
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(take) for k in keys), *(pa.array(o, k) for o, k in zip(out, kinds))], names=made.names)
+
+    return df.select(*keys, column, when).mapInArrow(run, made)
+
+
 def cut_arrays(df: DataFrame, column: str, name: str, fn: Callable[[list], list[int]]) -> DataFrame:
     """Adds an array of cuts that a Python function finds for each row's array of words, batch by batch."""
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
@@ -445,17 +553,6 @@ def segment_words(words: DataFrame, keys: list[str] = TAKE, pairs: list[tuple[st
     slow = long.groupBy(*keys).agg(F.max("_long").alias("_slow"), F.max("group_id").alias("_last")).where("_slow")
     at = spread_over_blocks(slow.withColumn("_zero", F.lit(0)), "_zero", "_last", 256).select(*keys, "block", "_slow")
     g = join_on(g.withColumn("block", F.floor(F.col("group_id") / 256).cast("long")), at, [*keys, "block"], "left").drop("block")
-    slow_col = F.coalesce("_slow", F.lit(False))
-    one = F.array().cast("array<int>")
-    a = g.withColumn("_cuts", F.when(slow_col & (F.size("w") >= 2), comma_cuts(F.col("w"), min_words)).otherwise(one))
-    a = _exploded(a.withColumn("_s", slow_col), keys, ["group_id", "_s"], F.col("_cuts"), "p1")
-    cuts = F.when(F.col("_s") & array_over(F.col("w")), conjunction_cuts(F.col("w"), None, protected_positions(F.col("w"), pairs), min_words)).otherwise(one)
-    b = _exploded(a.withColumn("_cuts", cuts), keys, ["group_id", "p1", "_s"], F.col("_cuts"), "p2")
-    # the last step is Python; only rows that need it have a cut to find
-    text = F.transform("w", lambda x: x.text)
-    b = b.withColumn("_t", F.when(F.col("_s") & array_over(F.col("w"), False), text).otherwise(F.array().cast("array<string>")))
-    b = cut_arrays(b, "_t", "_cuts", lambda w: emergency_cuts(w, min_words=min_words))
-    c = _exploded(b, keys, ["group_id", "p1", "p2"], F.col("_cuts"), "p3")
-    first, last = F.get("w", F.lit(0)), F.element_at("w", -1)
-    c = c.select(*keys, first.pos.alias("ws"), (last.pos + 1).alias("we"), first.s_ms.alias("start_ms"), F.coalesce(last.e_ms, last.s_ms).alias("end_ms"), F.array_join(F.transform("w", lambda x: x.text), " ").alias("text"))
+    known = set(pairs)
+    c = cut_into_cues(g.withColumn("_s", F.coalesce("_slow", F.lit(False))), keys, "w", "_s", lambda w, s, e: rule_cuts(w, s, e, known, min_words))
     return dense(cut(c.where(F.col("text") != "")), keys, "ws", "seg_no").select(*keys, "seg_no", "ws", "we", "start_ms", "end_ms", "text")

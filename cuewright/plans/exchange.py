@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,8 +126,9 @@ def exchange(asked: DataFrame, make: Callable[[], Backend], store: str | None =
     schema = "request_id string, content string, ok boolean, attempts int"
     try:
         known = spark.read.schema(schema).parquet(store)
-        known.limit(0).collect()
-    except Exception:  # noqa: BLE001 - no store yet
+    except AnalysisException as e:  # a store that is not there yet has no answers; any other failure is one
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         known = None
     fresh = asked if known is None else asked.join(known.where("ok").select("request_id"), "request_id", "left_anti")
     answer(fresh, make, **policy).write.mode("append").parquet(store)

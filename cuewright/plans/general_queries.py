@@ -73,4 +73,14 @@ ORACLE = {
     "p7_found": _WORDS
     + """ select media_id, take_no, idx, case when neg or v < 10 then 'impossible' when v > 5 * med then 'spike' else 'stuck' end as defect
           from l left join m using (media_id, take_no) where neg or v < 10 or v > 5 * med or n >= 6""",
+    "p7_rolling": _WORDS
+    + """,
+o as (
+  select media_id, take_no, idx, neg or v < 10 as bad, v, n from l
+  qualify row_number() over (partition by media_id, take_no, idx order by v, neg) = 1),
+w as (
+  select *, list(case when not bad then v end) filter (not bad) over (partition by media_id, take_no order by idx rows between 15 preceding and 15 following) as near from o),
+h as (select *, list_median(near) as med, list_median(list_transform(near, lambda x: abs(x - list_median(near)))) as mad from w)
+select media_id, take_no, idx, v as dur_ms, case when bad then 'impossible' when abs(v - med) > 8 * greatest(1.4826 * mad, 0.05 * med) then 'spike' else 'stuck' end as defect
+from h where bad or coalesce(abs(v - med) > 8 * greatest(1.4826 * mad, 0.05 * med), false) or n >= 6""",
 }

@@ -23,8 +23,8 @@ from cuewright.session import cut
 MARKS = "Put sentence marks and commas into the given text. Do not change, add or drop words. Answer with the text alone."
 CLAUSES = "For each numbered place, say YES if the word begins a new clause there and NO if it joins words. Answer with YES and NO, parted by commas."
 FRAGMENTS = "For each numbered pair, say CONTINUATION if the second line goes on with the first and NEW_SENTENCE if not. Answer with these words, parted by commas."
-#: Neighbouring long groups are gathered in blocks within stretches of so many groups; fragments are asked in lots of so many cues.
-STRETCH, LOT = 256, 64
+#: Fragments are asked in lots of so many cues.
+LOT = 64
 
 
 def _said(asked: DataFrame, make: Callable[[], Backend], store: str | None, policy: dict) -> DataFrame:
@@ -39,20 +39,24 @@ def _text(w: Column) -> Column:
 
 
 def long_blocks(arrays: DataFrame, keys: list[str]) -> DataFrame:
-    """Neighbouring long groups (keys, group_id, w) as blocks of at most three times the limits: keys, first, groups, w."""
-    long = arrays.where(S.array_over(F.col("w")))
-    rows = long.withColumn("stretch", F.floor(F.col("group_id") / STRETCH)).groupBy(*keys, "stretch").agg(F.sort_array(F.collect_list(F.struct("group_id", "w"))).alias("g"))
-
-    def cuts(groups: list) -> list[int]:
-        ids = [g["group_id"] for g in groups]
-        sizes = [(len(g["w"]), sum(len(x["text"]) + 1 for x in g["w"])) for g in groups]
-        runs = [0, *[i for i in range(1, len(ids)) if ids[i] != ids[i - 1] + 1], len(ids)]
-        inner = [a + c for a, b in zip(runs, runs[1:]) for c in S.block_cuts(sizes[a:b], 3 * S.MAX_WORDS, 3 * S.MAX_CHARS)]
-        return sorted({*runs[1:-1], *inner})
-
-    rows = S.cut_arrays(rows, "g", "cuts", cuts)
-    part = rows.select(*keys, F.explode(S.parts_of(F.col("g"), F.col("cuts"))).alias("p"))
-    return part.select(*keys, F.get("p", F.lit(0)).group_id.alias("first"), F.size("p").alias("groups"), F.flatten(F.transform("p", lambda x: x.w)).alias("w"))
+    """Neighbouring long groups (keys, group_id, w) as blocks of at most three times the limits: keys, first, groups, w.
+
+    A run of long groups is cut as a whole, however long it is: one row holds the sizes of its groups, two numbers each, not their words.
+    """
+    chars = F.aggregate("w", F.lit(0), lambda a, x: a + F.char_length(x.text) + 1)
+    sizes = arrays.select(*keys, "group_id", S.array_over(F.col("w")).alias("is_long"), F.size("w").alias("n_words"), chars.alias("n_chars"), F.get("w", F.lit(0)).pos.alias("ws"))
+    first = S.neighbours(sizes, keys, "group_id", 1, _prev=lambda w: F.lag("is_long").over(w))
+    first = first.withColumn("_starts", (F.col("is_long") & ~F.coalesce("_prev", F.lit(False))).cast("int"))
+    runs = S.running_sum(first, keys, "group_id", "_starts", "_run").where("is_long")
+    runs = runs.groupBy(*keys, "_run").agg(F.min("group_id").alias("_at"), F.sort_array(F.collect_list(F.struct("group_id", "n_words", "n_chars"))).alias("g"))
+    runs = S.cut_arrays(runs, "g", "cuts", lambda g: S.block_cuts([(x["n_words"], x["n_chars"]) for x in g], 3 * S.MAX_WORDS, 3 * S.MAX_CHARS))
+    # each group's block, by the block's first group
+    starts = F.concat(F.array(F.lit(0)), "cuts")
+    ends = F.concat("cuts", F.array(F.size("g")))
+    of = runs.select(*keys, "_at", F.explode(F.arrays_zip(starts.alias("a"), ends.alias("b"))).alias("x"))
+    of = of.select(*keys, (F.col("_at") + F.col("x.a")).cast("int").alias("first"), F.explode(F.sequence((F.col("_at") + F.col("x.a")).cast("int"), (F.col("_at") + F.col("x.b") - 1).cast("int"))).alias("group_id"))
+    rows = join_on(arrays.select(*keys, "group_id", "w"), of, [*keys, "group_id"])
+    return rows.groupBy(*keys, "first").agg(F.count("*").cast("int").alias("groups"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("group_id", "w"))), lambda x: x.w)).alias("w"))
 
 
 def segment_with_model(words: DataFrame, make: Callable[[], Backend], keys: list[str] = TAKE, pairs: list[tuple[str, str]] | None = None, store: str | None = None, min_words: int = S.MIN_WORDS, **policy) -> DataFrame:

@@ -118,25 +118,29 @@ def plain_text(lines: DataFrame, key: str = "media_id", order: str = "line_no")
 def write_files(files: DataFrame, folder: str, ending: str, key: str = "media_id") -> DataFrame:
     """Writes each row's text to folder/<key><ending> and returns key, path, bytes. Runs when an action asks for it.
 
-    The folder must be one that all executors share. A file is written under another name and then moved, so
-    a lost executor leaves no half file.
+    The folder, a path or an address (hdfs, s3, gs, abfs), must be one that all executors share. A file is written under
+    another name and then moved, so a lost executor leaves no half file, and a repeated task overwrites its own.
     """
     schema = f"{key} string, path string, bytes long"
 
     def run(batches):
+        import uuid
+
         import pandas as pd
+        from pyarrow import fs
 
-        os.makedirs(folder, exist_ok=True)
+        system, root = fs.FileSystem.from_uri(folder if "://" in folder else os.path.abspath(folder))
+        system.create_dir(root, recursive=True)
         for pdf in batches:
             rows = []
             for k, t in zip(pdf[key], pdf["text"]):
-                path = os.path.join(folder, f"{str(k).replace('/', '_')}{ending}")
+                name = f"{str(k).replace('/', '_')}{ending}"
                 data = (t or "").encode("utf-8")
-                part = f"{path}.{os.getpid()}.part"
-                with open(part, "wb") as f:
+                part = f"{root}/.{name}.{uuid.uuid4().hex}.part"
+                with system.open_output_stream(part) as f:
                     f.write(data)
-                os.replace(part, path)
-                rows.append((str(k), path, len(data)))
+                system.move(part, f"{root}/{name}")
+                rows.append((str(k), f"{folder.rstrip('/')}/{name}", len(data)))
             yield pd.DataFrame(rows, columns=[key, "path", "bytes"])
 
     return files.select(F.col(key).cast("string").alias(key), "text").mapInPandas(run, schema)

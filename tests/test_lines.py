@@ -194,3 +194,30 @@ def test_stream_of_words_closes_groups(spark, tmp_path):
 def test_config_free_prompt():
     p = R.system_prompt("english", "french", glossary=["a = b"], numbers="digits", flexible=True, simplify=True, punctuation=False)
     assert "a = b" in p and "digits" in p and R.system_prompt("a", "b", custom="mine") == "mine"
+
+
+def test_store_is_new_only_where_its_path_is_missing(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+    from pyspark.sql import functions as F
+
+    from cuewright.plans.exchange import Replay, exchange, requests
+
+    asked = requests(spark.createDataFrame([("a",), ("b",)], "t string"), "s", "system", F.col("t"), F.lit(8))
+    first = exchange(asked, lambda: Replay({"a": "x"}), str(tmp_path / "store"), attempts=1, delays=())
+    assert sorted((r.content, r.ok) for r in first.collect() if r.ok) == [("x", True)]
+    again = exchange(asked, lambda: Replay({"b": "y"}), str(tmp_path / "store"), attempts=1, delays=())
+    assert sorted(r.content for r in again.collect()) == ["x", "y"]
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part.parquet").write_text("no parquet")
+    with pytest.raises(Exception) as e:
+        exchange(asked, lambda: Replay({}), str(tmp_path / "broken"), attempts=1, delays=()).collect()
+    assert not isinstance(e.value, AnalysisException) or e.value.getCondition() != "PATH_NOT_FOUND"
+
+
+def test_files_by_address(spark, tmp_path):
+    from cuewright.sources import files as I
+
+    df = spark.createDataFrame([("a/b", "text"), ("c", None)], "media_id string, text string")
+    for folder in (str(tmp_path / "x"), f"file://{tmp_path}/y"):
+        assert sorted(r.bytes for r in I.write_files(df, folder, ".txt").collect()) == [0, 4]
+    assert sorted(p.name for p in (tmp_path / "y").iterdir()) == ["a_b.txt", "c.txt"] and (tmp_path / "x" / "a_b.txt").read_text() == "text"

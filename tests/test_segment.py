@@ -143,3 +143,41 @@ def test_aligned_words(spark):
     data = [("m", "en", [seg(0.61, [("gone", None, 0.0, 0.1)]), seg(0.60, [(" hi ", None, 0.0, 0.1), ("", "yo", 0.2, None)]), seg(None, [("x", None, None, 0.1), (" ", None, 0.3, 0.4)])])]
     got = [(r.idx, r.seg_idx, r.text, r.end) for r in Wd.aligned_words(spark.createDataFrame(data, Wd.ALIGNED)).orderBy("idx").collect()]
     assert got == [(0, 1, "hi", 0.1), (1, 1, "yo", None)]
+
+
+def test_rule_cuts_are_those_of_the_steps(spark):
+    """One pass over a group against the three column rules one after the other, on random groups."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from cuewright.operators import segment as S
+
+    rng = random.Random(4)
+    pool = "we it and but so or the boat, pier, and, they because which lamp to very quickly of course such as if when left, saw it'll".split()
+    rows = [(i, [(k, k * 300, k * 300 + 250 if k % 7 else None, rng.choice(pool)) for k in range(rng.randint(2, 90))]) for i in range(120)]
+    df = spark.createDataFrame(rows, "g int, w array<struct<pos int, s_ms long, e_ms long, text string>>")
+    pairs = [("of", "course"), ("such", "as"), ("and", "it")]
+    none = F.array().cast("array<int>")
+    a = S._exploded(df.withColumn("_c", S.comma_cuts(F.col("w"))), ["g"], [], F.col("_c"), "p1")
+    a = a.withColumn("_c", F.when(S.array_over(F.col("w")), S.conjunction_cuts(F.col("w"), None, S.protected_positions(F.col("w"), pairs))).otherwise(none))
+    b = S._exploded(a, ["g"], ["p1"], F.col("_c"), "p2").withColumn("_t", F.when(S.array_over(F.col("w"), False), F.transform("w", lambda x: x.text)).otherwise(F.array().cast("array<string>")))
+    c = S._exploded(S.cut_arrays(b, "_t", "_c", S.emergency_cuts), ["g"], ["p1", "p2"], F.col("_c"), "p3")
+    want = {}
+    for r in c.select("g", F.get("w", F.lit(0)).pos.alias("at")).collect():
+        want.setdefault(r.g, set()).add(r.at)
+    for g, w in rows:
+        got = S.rule_cuts([x[3] for x in w], [x[1] for x in w], [x[2] for x in w], set(pairs))
+        assert got == sorted(want[g] - {0})
+
+
+def test_a_take_without_marks_is_cut_in_time_that_grows_with_its_words(spark):
+    from pyspark.sql import functions as F
+
+    from cuewright.operators import segment as S
+
+    n, pool = 200_000, "the old boat left and we saw so many lamps, but it was late when they came".split()
+    text = F.element_at(F.split(F.lit(" ".join(pool)), " "), (F.pmod(F.xxhash64("id"), F.lit(len(pool))) + 1).cast("int"))
+    words = spark.range(n).select(F.lit("m").alias("media_id"), F.lit(0).alias("take_no"), F.col("id").cast("int").alias("pos"), (F.col("id") * 300).alias("s_ms"), (F.col("id") * 300 + 200).alias("e_ms"), text.alias("text"))
+    got = S.segment_words(words).agg(F.sum(F.col("we") - F.col("ws")).alias("n"), F.max(F.length("text")).alias("chars"), F.max("we").alias("last")).first()
+    assert (got.n, got.last) == (n, n) and got.chars < 120

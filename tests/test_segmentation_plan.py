@@ -39,3 +39,21 @@ def test_marks_verdicts_and_merges_are_used(spark):
     assert " ".join(t for k, *_, t in got if k == 0) == text
     assert [t for k, *_, t in got if k == 0][0] == left
     assert [t for k, *_, t in got if k == 1] == ["Short one."]
+
+
+def test_a_run_of_long_groups_is_cut_as_a_whole(spark):
+    """Against block_cuts over the whole run, far beyond any fixed number of groups."""
+    from cuewright.operators import segment as S
+    from cuewright.plans.segmentation import long_blocks
+
+    sizes = [31 + (k * 7) % 25 for k in range(700)]
+    rows, pos = [], 0
+    for g, n in enumerate(sizes):
+        rows.append(("m", g, [(pos + k, (pos + k) * 100, (pos + k) * 100 + 90, "word") for k in range(n)]))
+        pos += n
+    rows += [("m", 700, [(pos, 0, 1, "short.")]), ("m", 701, [(pos + 1 + k, k, k + 1, "word") for k in range(40)]), ("n", 5, [(k, k, k + 1, "word") for k in range(40)])]
+    df = spark.createDataFrame(rows, "media_id string, group_id int, w array<struct<pos int, s_ms long, e_ms long, text string>>")
+    got = {(r.media_id, r.first): (r.groups, len(r.w)) for r in long_blocks(df, ["media_id"]).collect()}
+    cuts = [0, *S.block_cuts([(n, 5 * n) for n in sizes], 3 * S.MAX_WORDS, 3 * S.MAX_CHARS), len(sizes)]
+    want = {("m", a): (b - a, sum(sizes[a:b])) for a, b in zip(cuts, cuts[1:])} | {("m", 701): (1, 40), ("n", 5): (1, 40)}
+    assert got == want
