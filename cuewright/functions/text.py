@@ -182,3 +182,8 @@ def min_tokens(length: Column | str, reasoning: bool = False) -> Column:
 
 def without_bom(x: Column | str) -> Column:
     return F.regexp_replace(_c(x), "^﻿", "")
+
+
+def strip_ansi(x: Column | str) -> Column:
+    """Without the escape sequences that colour a terminal."""
+    return F.regexp_replace(_c(x), r"\x1B(?:[@-Z\\\-_]|\[[0-?]*[ -/]*[@-~])", "")

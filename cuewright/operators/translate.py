@@ -35,6 +35,7 @@ def windows(sizes: DataFrame, keys: list[str], n: str = "n", mode: str = "accura
 def window_lines(lines: DataFrame, keys: list[str], mode: str = "accurate") -> DataFrame:
     """Each line in every window that shows it: keys, win, line_no, role ('before', 'translate', 'after'), no (from 1 among the translated), text.
 
+    In flexible mode lines that have timecodes (columns tc_start, tc_end) show them, as a column `tc`.
     A line's windows follow from its number, so no join is needed; the last windows of a source are cut at its end by
     the lines that exist.
     """
@@ -43,7 +44,9 @@ def window_lines(lines: DataFrame, keys: list[str], mode: str = "accurate") -> D
     reach = -(-c // t)
     own = F.floor(i / t).cast("int")
     wins = F.sequence(F.greatest(own - reach, F.lit(0)), own + 1)
-    rows = lines.select(*keys, "line_no", "text", F.explode(wins).alias("win"))
+    timed = mode == "flexible" and {"tc_start", "tc_end"} <= set(lines.columns)
+    tc = [F.concat(F.lit("["), F.col("tc_start"), F.lit(" --> "), F.col("tc_end"), F.lit("]")).alias("tc")] if timed else []
+    rows = lines.select(*keys, "line_no", "text", *tc, F.explode(wins).alias("win"))
     k = F.col("win")
     start = F.when(k == 0, 0).otherwise((k - 1) * t + first)
     end = F.greatest(start + c, (k + 1) * t)
@@ -52,18 +55,21 @@ def window_lines(lines: DataFrame, keys: list[str], mode: str = "accurate") -> D
     shown = rows.where(inside).withColumn("role", role).withColumn("no", F.when(F.col("role") == "translate", (i - k * t + 1).cast("int")))
     # a window exists if it translates a line: window k does if line k * T exists, which is the line its own number points to
     alive = lines.where(F.pmod(i, F.lit(t)) == 0).select(*keys, F.floor(i / t).cast("int").alias("win"))
-    return join_on(shown, alive, [*keys, "win"], "left_semi").select(*keys, "win", "line_no", "role", "no", "text")
+    return join_on(shown, alive, [*keys, "win"], "left_semi").select(*keys, "win", "line_no", "role", "no", "text", *(["tc"] if timed else []))
 
 
 def user_prompts(shown: DataFrame, keys: list[str]) -> DataFrame:
-    """The prompt of each window: context before, numbered lines, context after."""
+    """The prompt of each window: context before, numbered lines, context after; timecodes before the texts of lines that show them."""
+    said = F.coalesce("text", F.lit(""))
+    if "tc" in shown.columns:
+        said = F.concat_ws(" ", "tc", said)
 
     def part(role: str, of: Column) -> Column:
         rows = F.sort_array(F.collect_list(F.when(F.col("role") == role, F.struct("line_no", of.alias("t")))))
         return F.array_join(F.transform(rows, lambda x: x.t), "\n")
 
-    numbered = F.concat(F.lit("["), F.col("no").cast("string"), F.lit("] "), F.coalesce("text", F.lit("")))
-    p = shown.groupBy(*keys, "win").agg(part("before", F.coalesce("text", F.lit(""))).alias("b"), part("translate", numbered).alias("t"), part("after", F.coalesce("text", F.lit(""))).alias("a"), F.count(F.when(F.col("role") == "translate", 1)).cast("int").alias("lines"))
+    numbered = F.concat(F.lit("["), F.col("no").cast("string"), F.lit("] "), said)
+    p = shown.groupBy(*keys, "win").agg(part("before", said).alias("b"), part("translate", numbered).alias("t"), part("after", said).alias("a"), F.count(F.when(F.col("role") == "translate", 1)).cast("int").alias("lines"))
     head = lambda name, c: F.when(F.col(c) != "", F.concat(F.lit(f"{name}:\n"), F.col(c)))
     return p.select(*keys, "win", "lines", F.concat_ws("\n\n", head("Before", "b"), head("Lines to translate", "t"), head("After", "a")).alias("user"))
 

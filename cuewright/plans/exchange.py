@@ -75,7 +75,55 @@ class Http:
             return None
 
 
-BACKENDS: dict[str, Callable[..., Backend]] = {"none": NoBackend, "replay": Replay, "http": Http}
+#: How families of open models mark who speaks.
+TEMPLATES = {
+    "tags": "<|system|>\n{system}\n<|end|>\n<|user|>\n{user}\n<|end|>\n<|assistant|>\n",
+    "im": "<|im_start|>system\n{system}\n<|im_end|>\n<|im_start|>user\n{user}\n<|im_end|>\n<|im_start|>assistant\n",
+    "inst": "[SYSTEM_PROMPT]{system}[/SYSTEM_PROMPT]\n[INST]{user}[/INST]",
+}
+
+
+def chat_prompt(system: Column | str, user: Column | str, template: str = "tags") -> Column:
+    """System and user text as one prompt of a model family; an unknown family is read as 'tags'."""
+    before, rest = TEMPLATES.get(template, TEMPLATES["tags"]).split("{system}")
+    between, after = rest.split("{user}")
+    col = lambda x: F.col(x) if isinstance(x, str) else x
+    return F.concat(F.lit(before), col(system), F.lit(between), col(user), F.lit(after))
+
+
+@dataclass
+class Completion:
+    """A local server that goes on with a prompt; any error is a failed call."""
+
+    url: str
+    template: str = "tags"
+    timeout: float = 300.0
+
+    def body(self, system, user, max_tokens, temperature) -> dict:
+        form = TEMPLATES.get(self.template, TEMPLATES["tags"])
+        prompt = form.replace("{user}", "\0").replace("{system}", system).replace("\0", user)
+        return {"prompt": prompt, "n_predict": max_tokens, "max_tokens": max_tokens, "temperature": temperature, "stop": ["<|end|>", "<|im_end|>", "</s>"]}
+
+    def chat(self, system, user, max_tokens, temperature):
+        import urllib.request
+
+        ask = urllib.request.Request(self.url, json.dumps(self.body(system, user, max_tokens, temperature)).encode(), {"Content-Type": "application/json"})
+        try:
+            with urllib.request.urlopen(ask, timeout=self.timeout) as got:
+                said = json.load(got)
+            return said["content"] if "content" in said else said["choices"][0]["text"]
+        except Exception:  # noqa: BLE001 - the table records the failure
+            return None
+
+
+BACKENDS: dict[str, Callable[..., Backend]] = {"none": NoBackend, "replay": Replay, "http": Http, "completion": Completion}
+
+
+def backend(service: dict) -> Callable[[], Backend]:
+    """What makes the backend of a service as config.service() gives it; its form is chat, messages, or a template of a local model."""
+    if service["form"] in TEMPLATES:
+        return lambda: Completion(service["url"], service["form"])
+    return lambda: Http(service["url"], service["model"], service["key"], service["form"] == "messages")
 
 
 def requests(df: DataFrame, stage: str, system: Column | str, user: Column | str, max_tokens: Column | int, temperature: float = 0.0, keep: list[str] | None = None) -> DataFrame:

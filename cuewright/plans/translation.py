@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuewright.config import Settings
 from cuewright.functions.text import SCRIPT_OF, has_cjk, min_tokens, post_process, strip, strip_reasoning
 from cuewright.operators.keys import join_on
 from cuewright.operators.translate import MODES, drift, finished, left_in_source_script, overflow, parse_replies, rebuild, resolve, system_prompt, user_prompts, window_lines, windows
@@ -25,6 +26,9 @@ def translate_lines(
     add_punctuation: bool = True,
     spacing: str = "auto",
     glossary: list[str] | None = None,
+    simplify: bool = False,
+    numbers: str = "auto",
+    custom: str | None = None,
     script_rounds: int = 2,
     drift_threshold: float | None = 0.16,
     repair: bool = True,
@@ -41,7 +45,8 @@ def translate_lines(
     shown = window_lines(lines, keys, mode)
     win = [*keys, "win"]
     ask = _Asker(make, store, policy, {"target": target, "add_punct": add_punctuation, "spacing": spacing})
-    system = system_prompt(source, target, flexible=mode == "flexible", punctuation=add_punctuation, glossary=glossary)
+    wording = {"punctuation": add_punctuation, "glossary": glossary, "simplify": simplify, "numbers": numbers}
+    system = system_prompt(source, target, flexible=mode == "flexible", custom=custom or "", **wording)
     prompts = user_prompts(shown, keys)
     size = min_tokens(F.char_length("user"))
     replies = ask(prompts, "translate", system, F.col("user"), size, [*win, "lines", "user"])
@@ -64,7 +69,7 @@ def translate_lines(
     if not repair:
         return done
     done = _resplit(cut(done), items, lines, keys, mode, ask)
-    single = system_prompt(source, target, punctuation=add_punctuation, glossary=glossary) + " Translate only the one line given, without its neighbours."
+    single = system_prompt(source, target, **wording) + " Translate only the one line given, without its neighbours."
     if drift_threshold is not None:
         pairs = drift(done, keys, drift_threshold)
         near = pairs.select(*keys, "line_no").unionByName(pairs.select(*keys, (F.col("line_no") + 1).alias("line_no"))).distinct()
@@ -126,8 +131,18 @@ def _resplit(done: DataFrame, items: DataFrame, lines: DataFrame, keys: list[str
     return _replaced(done, fresh.groupBy(*keys, "line_no").agg(F.max("fresh").alias("fresh")), keys)
 
 
+def options_of(settings: Settings, mode: str | None = None) -> dict:
+    """What translate_lines takes, of a job's settings; flexible word order means the flexible mode unless one is named."""
+    return {
+        "source": settings.source_lang, "target": settings.target_lang, "mode": mode or ("flexible" if settings.allow_flexible_word_order else "accurate"),
+        "add_punctuation": settings.add_punctuation, "spacing": settings.spacing, "glossary": settings.glossary, "simplify": settings.allow_simplify_wording,
+        "numbers": settings.number_mode, "custom": settings.custom_system_prompt, "drift_threshold": settings.drift,
+    }
+
+
 def translate_cues(cues: DataFrame, keys: list[str], make: Callable[[], Backend], **options) -> DataFrame:
     """Cues (line_no, start_ms, end_ms, text) to translated cues, merged lines absorbed."""
-    lines = translate_lines(cues.select(*keys, "line_no", "text"), keys, make, **options)
+    times = [c for c in ("tc_start", "tc_end") if c in cues.columns]
+    lines = translate_lines(cues.select(*keys, "line_no", "text", *times), keys, make, **options)
     timed = join_on(cues.select(*keys, "line_no", "start_ms", "end_ms"), lines, [*keys, "line_no"])
     return rebuild(timed, keys)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cuewright.functions.text import parse_srt_time, strip, without_bom
+from cuewright.functions.text import parse_srt_time, srt_time_ms, strip, without_bom
 from cuewright.operators.ordered import neighbours, running_sum
 from cuewright.operators.words import ALIGNED
 
@@ -17,10 +17,22 @@ TIME_LINE = rf"^({TIME})\s*-->\s*({TIME})"
 WORDS_JSON = "array<struct<start: double, end: double, text: string, seg_idx: int>>"
 
 
-def texts(spark: SparkSession, path: str, glob: str = "*.srt") -> DataFrame:
-    """Whole files of a folder: media_id (the file name without its ending), path, text without byte-order mark. Not recursive."""
-    raw = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
-    return raw.select(media_id(F.col("_metadata.file_path")).alias("media_id"), F.col("_metadata.file_path").alias("path"), without_bom("value").alias("text"))
+def texts(spark: SparkSession, path: str, glob: str = "*.srt", fallback: str = "ISO-8859-1") -> DataFrame:
+    """Whole files of a folder: media_id (the file name without its ending), path, text without byte-order mark. Not recursive.
+
+    A file that is not valid UTF-8 is read by the fallback character set.
+    """
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", fallback))
+    return raw.select(media_id(F.col("path")).alias("media_id"), "path", without_bom(text).alias("text"))
+
+
+def some_texts(spark: SparkSession, path: str, glob: str, **options) -> DataFrame:
+    """texts(), or an error where no file matches."""
+    found = texts(spark, path, glob, **options)
+    if found.isEmpty():
+        raise FileNotFoundError(f"no {glob} in {path}")
+    return found
 
 
 def media_id(path: Column) -> Column:
@@ -115,6 +127,25 @@ def plain_text(lines: DataFrame, key: str = "media_id", order: str = "line_no")
     return lines.groupBy(key).agg(F.concat(F.lit("﻿"), joined).alias("text"))
 
 
+def word_level(words: DataFrame, key: str = "media_id", order: str = "pos") -> DataFrame:
+    """Each word as a cue of its own, for looking at times: key, text (an SRT text per media)."""
+    end = F.coalesce("e_ms", "s_ms")
+    return srt_text(words.withColumn("tc_start", srt_time_ms("s_ms")).withColumn("tc_end", srt_time_ms(end)), key, order)
+
+
+def read_pairs(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """Protected pairs of a table file of two columns (CSV without a head, or Parquet): lower-case words, blank ones left out.
+
+    They are used as a literal and sent to tasks, so more than 20 000 are an error; join larger tables (break_flags).
+    """
+    raw = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.csv(path)
+    a, b = (F.lower(strip(F.col(c))) for c in raw.columns[:2])
+    some = raw.select(a.alias("w1"), b.alias("w2")).where("w1 <> '' and w2 <> ''").distinct().limit(20_001).collect()
+    if len(some) > 20_000:
+        raise ValueError("more than 20000 pairs; join them as a table instead (break_flags)")
+    return sorted((r.w1, r.w2) for r in some)
+
+
 def write_files(files: DataFrame, folder: str, ending: str, key: str = "media_id") -> DataFrame:
     """Writes each row's text to folder/<key><ending> and returns key, path, bytes. Runs when an action asks for it.
 
