@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from cuewright.functions import lexicon
@@ -326,6 +328,43 @@ r as (
 select {_KEYS}, cut from r where cut is not null"""
 
 
+def _in_list(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def _emergency(source: str, key: str) -> str:
+    """Recursive SQL that cuts the word lists w of a table wherever they are over the limits: CTE `leaf` with key, a, b (ends exclusive)."""
+    word = lambda of, i: f"{of}[{i} + 1]"
+    clause = lambda x: f"coalesce(list_contains({_in_list([*lexicon.CLAUSE_STARTERS, 'to'])}, {x}), false)"
+    # of a comma at i: where the list after it ends (the next comma, or the part's end), and the and/or in it that has a word after it
+    stop = "coalesce(list_min(list_filter(range(i + 1, b), lambda x: cm[x + 1])), b - 1)"
+    join = f"list_min(list_filter(range(i + 1, {stop}), lambda x: lw[x + 1] in ('and', 'or')))"
+    listed = f"""coalesce({join} is not null and not coalesce(split_part({word('lw', '(i + 1)')}, '''', 1) in {_in(lexicon.CLAUSE_SUBJECTS)}, false)
+        and not {clause(word('lw', f'({join} + 1)'))} and not ({join} + 2 <= {stop} and {clause(word('lw', f'({join} + 2)'))}), false)"""
+    return f"""
+e0 as (
+  select {key}, w, list_transform(w, lambda x: regexp_matches(x, ',\\s*$')) as cm, list_transform(w, lambda x: rtrim(lower(trim(x)), '.,!?;''"')) as lw,
+         list_transform(w, lambda x: lower(rtrim(x, ',.'))) as cw, list_transform(w, lambda x: split_part(rtrim(lower(trim(x)), ',.'), '''', 1)) as rt,
+         list_transform(w, lambda x: {_FRAGILE('x')}) as fr, list_transform(w, lambda x: length(x) + 1) as ln from {source}),
+e1 as (
+  select {key}, w, cm, lw, cw, rt, fr, ln, 0 as a, cast(len(w) as integer) as b from e0
+  union all
+  select {key}, w, cm, lw, cw, rt, fr, ln, unnest([a, cut]), unnest([cut, b]) from (
+    select *, cast(coalesce(
+        -- commas that are no list's, then conjunctions, the most balanced, the rightmost of equals; else near the middle
+        list_max(list_filter(commas, lambda i: abs(2 * (i - a) - n + 1) = list_min(list_transform(commas, lambda x: abs(2 * (x - a) - n + 1))))) + 1,
+        list_max(list_filter(conj, lambda i: abs(2 * (i - a) - n) = list_min(list_transform(conj, lambda x: abs(2 * (x - a) - n))))),
+        list_max(list_filter(free, lambda i: abs(i - a - n // 2) = list_min(list_transform(free, lambda x: abs(x - a - n // 2))))),
+        a + n // 2) as integer) as cut
+    from (
+      select *, list_filter(range(a + 4, b - 4), lambda i: cm[i + 1] and not {listed}) as commas,
+             list_filter(range(a + 4, b - 3), lambda i: cw[i + 1] = 'but' or cw[i + 1] in {_in(lexicon.SUBORDINATORS)} or (cw[i + 1] = 'and' and i + 1 < b)
+               or (cw[i + 1] in ('or', 'so') and i + 1 < b and rt[i + 2] in {_in(lexicon.CLAUSE_STARTERS)})) as conj,
+             list_filter(range(a + 1, b), lambda c: not fr[c]) as free
+      from (select *, b - a as n from e1 where b - a >= 2 and (b - a > 30 or list_sum(ln[a + 1:b]) > 120)))) ),
+leaf as (select {key}, w, a, b from e1 where not (b - a >= 2 and (b - a > 30 or list_sum(ln[a + 1:b]) > 120)))"""
+
+
 _FLAGS = (
     _W
     + f""",
@@ -351,6 +390,88 @@ cu as (
          string_agg(text, ' ' order by pos) as text from pc group by all)"""
 
 
+def _folded(name: str, candidates: str, accept: str, cut: str) -> str:
+    """The same as CTEs of their own: `name` holds the words (by pos) that begin a new part."""
+    return f"""
+{name}_c as ({candidates}),
+{name}_l as (select {_KEYS}, any_value(n) as n, any_value(ws) as ws, list(i order by i desc) as l from {name}_c group by all),
+{name}_r as (
+  select {_KEYS}, ws, l, cast(n as integer) as e, 1 as k, cast(null as integer) as cut from {name}_l
+  union all
+  select {_KEYS}, ws, l, case when {accept} then {cut} else e end, k + 1, case when {accept} then {cut} end from {name}_r where k <= len(l)),
+{name} as (select media_id, take_no, ws + cut as b from {name}_r where cut is not null)"""
+
+
+def _parts(name: str, breaks: str) -> str:
+    """Words with the part they belong to, numbered by its first word's pos, as group_id."""
+    return f"""
+{name} as (
+  select x.media_id, x.take_no, x.pos, x.s_ms, x.e_ms, x.text, cast(max(case when y.b is not null or x.pos = 0 then x.pos end) over (partition by x.media_id, x.take_no order by x.pos) as integer) as group_id
+  from w x left join (select distinct media_id, take_no, b from ({breaks})) y on y.media_id = x.media_id and y.take_no = x.take_no and y.b = x.pos)"""
+
+
+def _rules() -> str:
+    """The whole path by rules, from words with repaired times to the first words of all cues (CTE `cue`)."""
+    repaired = _W.replace("\nw as (", "\nw_raw as (") + """,
+m0 as (select media_id, take_no, count(*) as n, coalesce((list_sort(list(e_ms - s_ms) filter (e_ms > s_ms)))[count(*) filter (e_ms > s_ms) // 2 + 1], 180) as med from w_raw group by all),
+l0 as (
+  select *, case when e_ms > s_ms then e_ms - s_ms end as d, lead(s_ms) over (partition by media_id, take_no order by pos) as nx,
+         list_sort(list(case when e_ms > s_ms then e_ms - s_ms end) filter (e_ms > s_ms) over (partition by media_id, take_no order by pos rows between 10 preceding and 10 following exclude current row)) as near
+  from w_raw),
+u0 as (select l0.*, m0.n, coalesce(near[len(near) // 2 + 1], med) as u from l0 join m0 on m0.media_id = l0.media_id and m0.take_no = l0.take_no),
+c0 as (
+  select media_id, take_no, pos, text, s_ms, nx, case when n >= 3 and d > greatest(u * 5, 1000) and least(s_ms + greatest(u * 3, 500), coalesce(nx, 9e15::bigint)) < e_ms
+         then least(s_ms + greatest(u * 3, 500), coalesce(nx, 9e15::bigint)) else e_ms end as e_ms from u0),
+w as (
+  select media_id, take_no, pos, pos as idx, 0 as seg_idx, s_ms, coalesce(case when e_ms is not null then least(e_ms, coalesce(nx, e_ms)) end, nx, s_ms) as e_ms, text from c0)"""
+    looks = _GI[len(_G) :]
+    again = looks
+    for old, new in (("gi", "hi"), ("gn", "hn"), ("gl", "hl"), ("gc", "hc"), ("gw", "g2")):
+        again = re.sub(rf"\b{old}\b", new, again)
+    long = f"select {_KEYS} from {{0}} group by all having count(*) > 30 or sum(length(text) + 1) > 120 or arg_max(coalesce(e_ms, s_ms), pos) - arg_min(s_ms, pos) > 9000"
+    starts = "select media_id, take_no, min(pos) as b from gw group by media_id, take_no, group_id"
+    return (
+        repaired.replace("with d as", "with recursive d as", 1)
+        + _G[len(_W) :]
+        + looks
+        + f""",
+slow as (select distinct media_id, take_no from ({long.format('gw')})),
+gs as (select *, pos - i as ws from gc where (media_id, take_no) in (select (media_id, take_no) from slow)),"""
+        + _folded("k1", f"select {_KEYS}, i, n, ws from gs where comma and i < n - 1 and not listed and rt1 in {_in([*lexicon.CLAUSE_STARTERS, *lexicon.ELABORATION_STARTERS])}", "l[k] >= 4 and e - l[k] - 1 >= 4", "l[k] + 1")
+        + ","
+        + _parts("g2", f"{starts} union all select * from k1")
+        + again
+        + f""",
+lg as ({long.format('g2')}),
+hs as (
+  select *, pos - i as ws, lag(text) over (partition by {_KEYS} order by i) as pt from hc where (media_id, take_no) in (select (media_id, take_no) from slow)),"""
+        + _folded(
+            "k2",
+            f"""select {_KEYS}, i, n, ws from hs where ({_KEYS}) in (select ({_KEYS}) from lg)
+        and (cw = 'but' or (cw in ('and', 'or', 'so') and rt1 in {_in(lexicon.CLAUSE_STARTERS)}))
+        and not (cw in ('and', 'or') and listed_on)
+        and not coalesce(({_PAIR('pt')}, {_PAIR('text')}) in {_PAIRS} and not regexp_matches(pt, '[.?!]\\s*$'), false)""",
+            "l[k] >= 4 and e - l[k] >= 4",
+            "l[k]",
+        )
+        + ","
+        + _parts("g3", f"{starts} union all select * from k1 union all select * from k2")
+        + f""",
+em as (
+  select {_KEYS}, list(text order by pos) as w from g3 where (media_id, take_no) in (select (media_id, take_no) from slow)
+  group by all having count(*) > 30 or sum(length(text) + 1) > 120),"""
+        + _emergency("em", _KEYS)
+        + ","
+        + _parts("cue", f"{starts} union all select * from k1 union all select * from k2 union all select media_id, take_no, group_id + a from leaf where a > 0")
+    )
+
+
+_WHOLE = """,
+cu as (
+  select media_id, take_no, group_id, min(pos) as ws, max(pos) + 1 as we, arg_min(s_ms, pos) as start_ms, arg_max(coalesce(e_ms, s_ms), pos) as end_ms, string_agg(text, ' ' order by pos) as text from cue group by all)
+select media_id, take_no, cast(row_number() over (partition by media_id, take_no order by ws) - 1 as integer) as seg_no, ws, we, start_ms, end_ms, text"""
+
+
 ORACLE = {
     "q_words": _BASE
     + """
@@ -439,6 +560,27 @@ gp as (select *, lag(text) over (partition by {_KEYS} order by i) as pt from gc)
         "l[k] >= 4 and e - l[k] >= 4",
         "l[k]",
     ),
+    "q_block_split": (_GT + ",").replace("with d as", "with recursive d as", 1)
+    + """
+l0 as (select *, group_id - row_number() over (partition by media_id, take_no order by group_id) as run from g where is_long),
+l1 as (
+  select media_id, take_no, run, min(group_id) as g0, list(n_words order by group_id) as nw, list(n_chars order by group_id) as nc from l0 group by all),
+b1 as (
+  select media_id, take_no, g0, nw, nc, 0 as a, cast(len(nw) as integer) as b from l1
+  union all
+  select media_id, take_no, g0, nw, nc, unnest([a, a + k]), unnest([a + k, b]) from (
+    select *, cast(list_position(cost, list_min(cost)) as integer) as k from (
+      select *, list_transform(range(1, b - a), lambda i: greatest(list_sum(nw[a + 1:a + i]), list_sum(nw[a + i + 1:b]))) as cost
+      from b1 where b - a >= 2 and (list_sum(nw[a + 1:b]) > 90 or list_sum(nc[a + 1:b]) > 360))))
+select media_id, take_no, g0 + a as first_group, cast(b - a as integer) as groups, cast(list_sum(nw[a + 1:b]) as integer) as words from b1
+where not (b - a >= 2 and (list_sum(nw[a + 1:b]) > 90 or list_sum(nc[a + 1:b]) > 360))""",
+    "q_emergency_split": (_GI + ",").replace("with d as", "with recursive d as", 1)
+    + f"""
+em as (select {_KEYS}, list(text order by i) as w from gi group by all having count(*) > 30 or sum(length(text) + 1) > 120),"""
+    + _emergency("em", _KEYS)
+    + f" select {_KEYS}, cast(len(any_value(w)) as integer) as words, coalesce(string_agg(cast(a as varchar), ',' order by a) filter (a > 0), '') as cuts from leaf group by {_KEYS}",
+    "q_segment_words": _rules() + _WHOLE + f", {_TC('greatest(start_ms, 0)')} as tc_start, {_TC('greatest(end_ms, 0)')} as tc_end from cu",
+    "q_segment_with_model": _rules() + _WHOLE + " from cu",
     "q_union_breaks": _W + f" select media_id, take_no, pos + 1 as b from w where {_ENDS} union select media_id, take_no, max(pos) + 1 from w group by media_id, take_no, seg_idx",
     "q_slice_breaks": _W + _pieces("select media_id, take_no, pos + 1 as b from w where text like '%,'") + " select * from cu",
     "q_comma_inject": _W + " select media_id, take_no, pos, case when pos % 5 = 4 and text not like '%,' then text || ',' else text end as text from w",
