@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cuewright.functions.text import strip
-from cuewright.operators.keys import TAKE, join_on, ms, once, spread_over_blocks
+from cuewright.operators.keys import TAKE, blocks, join_on, ms, once, spread_over_blocks
 from cuewright.operators.ordered import BLOCK, dense, neighbours, running_sum
+from cuewright.session import cut
 
 #: Segments above this probability of holding no speech are dropped.
 NO_SPEECH = 0.60
@@ -99,7 +101,7 @@ def clip_inflated(words: DataFrame, keys: list[str] = TAKE, mode: str = "snapsho
     The usual duration is the upper median of the positive durations around the word, without the word
     itself; where there are none, of the source. Sources of fewer than three words stay as they are. mode
     'snapshot' looks at the times as given, in bounded windows. mode 'exact' goes from left to right
-    and sees what it has cut already; it holds a source in one Python task.
+    and sees what it has cut already, in blocks that are done again until their neighbours agree (checkpoints).
     """
     if mode == "exact":
         return _clip_exact(words, keys)
@@ -120,31 +122,63 @@ def clip_inflated(words: DataFrame, keys: list[str] = TAKE, mode: str = "snapsho
     return rows.withColumn("e_ms", F.when(F.coalesce(long, F.lit(False)), cap).otherwise(F.col("e_ms"))).select(*words.columns)
 
 
+def _clip_block(s: list[int], e: list[int | None], first: int, last: int, fallback: int) -> list[int | None]:
+    """Ends of the words from first up to last, from left to right, each seeing what was cut before it."""
+    for i in range(first, last):
+        if e[i] is None:
+            continue
+        around = sorted(e[j] - s[j] for j in range(max(0, i - REACH), min(len(s), i + REACH + 1)) if j != i and e[j] is not None and e[j] > s[j])
+        usual = around[len(around) // 2] if around else fallback
+        if e[i] - s[i] <= max(usual * RATIO, FLOOR):
+            continue
+        cap = s[i] + max(usual * CAP, CAP_FLOOR)
+        if i + 1 < len(s):
+            cap = min(cap, s[i + 1])
+        e[i] = min(e[i], cap)
+    return e[first:last]
+
+
 def _clip_exact(words: DataFrame, keys: list[str]) -> DataFrame:
-    def per_source(pdf):
-        pdf = pdf.sort_values("pos", kind="stable").reset_index(drop=True)
-        if len(pdf) < 3:
-            return pdf
-        s = [int(x) for x in pdf["s_ms"]]
-        e = [None if x != x or x is None else int(x) for x in pdf["e_ms"]]
-        given = sorted(b - a for a, b in zip(s, e) if b is not None and b > a)
-        fallback = given[len(given) // 2] if given else 180
-        for i in range(len(s)):
-            if e[i] is None:
-                continue
-            around = sorted(e[j] - s[j] for j in range(max(0, i - REACH), min(len(s), i + REACH + 1)) if j != i and e[j] is not None and e[j] > s[j])
-            usual = around[len(around) // 2] if around else fallback
-            if e[i] - s[i] <= max(usual * RATIO, FLOOR):
-                continue
-            cap = s[i] + max(usual * CAP, CAP_FLOOR)
-            if i + 1 < len(s):
-                cap = min(cap, s[i + 1])
-            e[i] = min(e[i], cap)
-        pdf["e_ms"] = pdf["e_ms"].astype("object")
-        pdf["e_ms"] = e
-        return pdf
-
-    return words.groupBy(*keys).applyInPandas(per_source, words.schema)
+    """Blocks are cut with what is known of the words before them, and cut again while that turns out to be otherwise.
+
+    A block hears of the one before it only by the ends of its last REACH words, so few blocks are done twice; in the worst case
+    there are as many rounds as a source has blocks.
+    """
+    facts = join_on(words.groupBy(*keys).agg(F.min("pos").alias("_lo"), F.max("pos").alias("_hi"), F.count("*").alias("_n")), duration_medians(words, keys), keys)
+    facts = spread_over_blocks(facts, "_lo", "_hi", BLOCK).select(*keys, "block", "_n", "med_ms")
+    w = F.struct("pos", F.col("s_ms").alias("s"), F.col("e_ms").alias("e"), "core")
+    state = blocks(words.select(*keys, "pos", "s_ms", "e_ms"), "pos", BLOCK, REACH).groupBy(*keys, "block").agg(F.sort_array(F.collect_list(w)).alias("w"))
+    state = join_on(state.where(F.exists("w", lambda x: x.core)), facts, [*keys, "block"])
+    before = F.transform(F.filter("w", lambda x: ~x.core & (x.pos < F.col("block") * BLOCK)), lambda x: x.e)
+    ends = T.ArrayType(T.LongType())
+    state = state.withColumn("known", before)
+    made = T.StructType([*state.schema.fields, T.StructField("ends", ends)])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for rows, n, med, known in zip(*(b.column(c).to_pylist() for c in ("w", "_n", "med_ms", "known"))):
+                s, e = [x["s"] for x in rows], [x["e"] for x in rows]
+                first = len(known)
+                last = first + sum(x["core"] for x in rows)
+                e[:first] = known
+                out.append(_clip_block(s, e, first, last, med) if n >= 3 else e[first:last])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int64()))], names=[*b.schema.names, "ends"])
+
+    state = cut(state.mapInArrow(run, made))
+    while True:
+        tail = F.slice("ends", F.greatest(F.size("ends") - REACH + 1, F.lit(1)), F.lit(REACH))
+        heard = join_on(state, state.select(*keys, (F.col("block") + 1).alias("block"), tail.alias("_heard")), [*keys, "block"], "left")
+        new = F.col("_heard").isNotNull() & ~F.col("_heard").eqNullSafe(F.col("known"))
+        if heard.where(new).isEmpty():
+            break
+        again = heard.where(new).withColumn("known", F.col("_heard")).drop("_heard", "ends").mapInArrow(run, made)
+        state = cut(heard.where(~new).drop("_heard").unionByName(again))
+    core = F.filter("w", lambda x: x.core)
+    done = state.select(*keys, F.explode(F.transform(core, lambda x, i: F.struct(x.pos.alias("pos"), F.get("ends", i).alias("e")))).alias("x")).select(*keys, "x.pos", F.col("x.e").alias("_e"))
+    return join_on(words, done, [*keys, "pos"]).withColumn("e_ms", F.col("_e")).select(*words.columns)
 
 
 def without_overlaps(words: DataFrame, keys: list[str] = TAKE) -> DataFrame:

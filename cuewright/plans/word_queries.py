@@ -12,7 +12,7 @@ from cuewright.operators import segment as S
 from cuewright.operators.keys import TAKE, join_on, once
 from cuewright.operators.words import aligned_words, clip_inflated, duration_medians, nested, spoken_words, with_ends, without_overlaps
 from cuewright.plans.exchange import NoBackend, diff_marks
-from cuewright.plans.segmentation import long_blocks, segment_with_model
+from cuewright.plans.segmentation import CLAUSES, long_blocks, segment_with_model
 from cuewright.plans.tables import table
 from cuewright.session import cut
 
@@ -245,6 +245,19 @@ def q_segment_with_model(spark, d):
     return segment_with_model(cut(w), NoBackend, attempts=1, delays=())
 
 
+class _Yes:
+    """Says YES to every place it is asked about, CONTINUATION to no pair, and puts no marks."""
+
+    def chat(self, system, user, max_tokens, temperature):
+        return ", ".join(["YES"] * user.count(" before word ")) if system == CLAUSES else None
+
+
+def q_segment_confirmed(spark, d):
+    """The path with a model that confirms every ambiguous conjunction."""
+    w = with_ends(without_overlaps(clip_inflated(cut(_words(spark, d)))))
+    return segment_with_model(cut(w), _Yes, attempts=1, delays=())
+
+
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
 
 
@@ -410,8 +423,9 @@ def _parts(name: str, breaks: str) -> str:
   from w x left join (select distinct media_id, take_no, b from ({breaks})) y on y.media_id = x.media_id and y.take_no = x.take_no and y.b = x.pos)"""
 
 
-def _rules() -> str:
-    """The whole path by rules, from words with repaired times to the first words of all cues (CTE `cue`)."""
+def _rules(confirmed: bool = False) -> str:
+    """The whole path by rules, from words with repaired times to the first words of all cues (CTE `cue`); with every ambiguous conjunction confirmed or none."""
+    asked = f" or (i >= 4 and n - i >= 4 and not (cw = 'so' and coalesce({_VERY('rt1')}, false)))" if confirmed else ""
     repaired = _W.replace("\nw as (", "\nw_raw as (") + """,
 m0 as (select media_id, take_no, count(*) as n, coalesce((list_sort(list(e_ms - s_ms) filter (e_ms > s_ms)))[count(*) filter (e_ms > s_ms) // 2 + 1], 180) as med from w_raw group by all),
 l0 as (
@@ -448,7 +462,7 @@ hs as (
         + _folded(
             "k2",
             f"""select {_KEYS}, i, n, ws from hs where ({_KEYS}) in (select ({_KEYS}) from lg)
-        and (cw = 'but' or (cw in ('and', 'or', 'so') and rt1 in {_in(lexicon.CLAUSE_STARTERS)}))
+        and (cw = 'but' or (cw in ('and', 'or', 'so') and (rt1 in {_in(lexicon.CLAUSE_STARTERS)}{asked})))
         and not (cw in ('and', 'or') and listed_on)
         and not coalesce(({_PAIR('pt')}, {_PAIR('text')}) in {_PAIRS} and not regexp_matches(pt, '[.?!]\\s*$'), false)""",
             "l[k] >= 4 and e - l[k] >= 4",
@@ -509,6 +523,23 @@ u as (select l.*, m.n, coalesce(near[len(near) // 2 + 1], med) as u from l join
 select media_id, take_no, pos,
        case when n >= 3 and d > greatest(u * 5, 1000) and least(s_ms + greatest(u * 3, 500), coalesce(nx, 9e15::bigint)) < e_ms
             then least(s_ms + greatest(u * 3, 500), coalesce(nx, 9e15::bigint)) else e_ms end as e_ms from u""",
+    "q_clip_exact": _W.replace("with d as", "with recursive d as", 1)
+    + """,
+m as (select media_id, take_no, count(*) as n, coalesce((list_sort(list(e_ms - s_ms) filter (e_ms > s_ms)))[count(*) filter (e_ms > s_ms) // 2 + 1], 180) as med from w group by all),
+l as (
+  select w.media_id, w.take_no, w.pos, w.s_ms, w.e_ms, m.n, m.med, lead(s_ms) over (partition by w.media_id, w.take_no order by w.pos) as nx,
+         list(e_ms - s_ms) filter (e_ms > s_ms) over (partition by w.media_id, w.take_no order by w.pos rows between 1 following and 10 following) as ahead
+  from w join m on m.media_id = w.media_id and m.take_no = w.take_no),
+r as (
+  -- from word to word, with the durations of the last ten as they were left (null where there is none)
+  select media_id, take_no, -1 as pos, cast(null as bigint) as e, cast([] as bigint[]) as back from m
+  union all
+  select media_id, take_no, pos, e, list_slice(list_append(back, case when e > s_ms then e - s_ms end), -10, -1) from (
+    select *, case when n >= 3 and e_ms - s_ms > greatest(u * 5, 1000) then least(e_ms, s_ms + greatest(u * 3, 500), coalesce(nx, 9e15::bigint)) else e_ms end as e from (
+      select l.*, r.back, coalesce(list_sort(list_filter(list_concat(r.back, coalesce(l.ahead, [])), lambda x: x is not null))
+                                   [len(list_filter(list_concat(r.back, coalesce(l.ahead, [])), lambda x: x is not null)) // 2 + 1], l.med) as u
+      from r join l on l.media_id = r.media_id and l.take_no = r.take_no and l.pos = r.pos + 1)))
+select media_id, take_no, pos, e as e_ms from r where pos >= 0""",
     "q_overlap": _W
     + """ select media_id, take_no, pos, s_ms, case when e_ms is not null then least(e_ms, coalesce(lead(s_ms) over (partition by media_id, take_no order by pos), e_ms)) end as e_ms from w""",
     "q_with_ends": _W + " select media_id, take_no, pos, coalesce(e_ms, lead(s_ms) over (partition by media_id, take_no order by pos), s_ms) as e_ms from w",
@@ -581,6 +612,7 @@ em as (select {_KEYS}, list(text order by i) as w from gi group by all having co
     + f" select {_KEYS}, cast(len(any_value(w)) as integer) as words, coalesce(string_agg(cast(a as varchar), ',' order by a) filter (a > 0), '') as cuts from leaf group by {_KEYS}",
     "q_segment_words": _rules() + _WHOLE + f", {_TC('greatest(start_ms, 0)')} as tc_start, {_TC('greatest(end_ms, 0)')} as tc_end from cu",
     "q_segment_with_model": _rules() + _WHOLE + " from cu",
+    "q_segment_confirmed": _rules(confirmed=True) + _WHOLE + " from cu",
     "q_union_breaks": _W + f" select media_id, take_no, pos + 1 as b from w where {_ENDS} union select media_id, take_no, max(pos) + 1 from w group by media_id, take_no, seg_idx",
     "q_slice_breaks": _W + _pieces("select media_id, take_no, pos + 1 as b from w where text like '%,'") + " select * from cu",
     "q_comma_inject": _W + " select media_id, take_no, pos, case when pos % 5 = 4 and text not like '%,' then text || ',' else text end as text from w",

@@ -181,3 +181,27 @@ def test_a_take_without_marks_is_cut_in_time_that_grows_with_its_words(spark):
     words = spark.range(n).select(F.lit("m").alias("media_id"), F.lit(0).alias("take_no"), F.col("id").cast("int").alias("pos"), (F.col("id") * 300).alias("s_ms"), (F.col("id") * 300 + 200).alias("e_ms"), text.alias("text"))
     got = S.segment_words(words).agg(F.sum(F.col("we") - F.col("ws")).alias("n"), F.max(F.length("text")).alias("chars"), F.max("we").alias("last")).first()
     assert (got.n, got.last) == (n, n) and got.chars < 120
+
+
+def test_exact_clip_in_blocks_is_the_one_from_left_to_right(spark, rows, monkeypatch):
+    """Small blocks, outliers side by side so that a block's cuts change the next one's, against one pass over the source."""
+    import random
+
+    from cuewright.operators import words as Wd
+
+    monkeypatch.setattr(Wd, "BLOCK", 16)
+    rng = random.Random(9)
+    data, want = [], []
+    for take, n in enumerate((200, 2, 47)):
+        t, s, e = 0, [], []
+        for _ in range(n):
+            d = rng.choice([180, 220, 150, 4000, 9000, 15000, 0])
+            s.append(t)
+            e.append(None if rng.random() < 0.1 else t + d)
+            t += rng.choice([200, 300, 6000, 20000])
+        data += [("m", take, i, a, b) for i, (a, b) in enumerate(zip(s, e))]
+        given = sorted(b - a for a, b in zip(s, e) if b is not None and b > a)
+        cut = Wd._clip_block(s, list(e), 0, n, given[len(given) // 2] if given else 180) if n >= 3 else e
+        want += [("m", take, i, a, b) for i, (a, b) in enumerate(zip(s, cut))]
+    df = spark.createDataFrame(data, "media_id string, take_no int, pos int, s_ms long, e_ms long")
+    assert rows(Wd.clip_inflated(df, mode="exact")) == sorted(want, key=repr)
