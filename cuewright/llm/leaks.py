@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from functools import lru_cache
 
 import ahocorasick
 import regex
@@ -74,6 +75,11 @@ def _built(name: tuple, items: list, words: int, chars: int, part: int, parts: i
     return _BUILT["automata"]
 
 
+@lru_cache(maxsize=65536)
+def _kept(cluster: str) -> str:
+    return "".join(c for c in forms(cluster).casefold() if TOKEN_RE.match(c))
+
+
 def original_span(text: str, passage: str) -> tuple[int, int] | None:
     """Where in the original text a passage of its plain form begins and ends.
 
@@ -85,15 +91,15 @@ def original_span(text: str, passage: str) -> tuple[int, int] | None:
     for a, b in marks:
         hidden[a:b] = b"\1" * (b - a)
     at, upto, made = [], [], []
-    for m in CLUSTER_RE.finditer(text):  # accents written apart are normalised with their letter
-        a, b = m.span()
-        if hidden[a]:
-            continue
-        for c in forms(m.group()).casefold():
-            if TOKEN_RE.match(c):
+    a = 0
+    for cluster in text if text.isascii() else CLUSTER_RE.findall(text):  # accents written apart are normalised with their letter
+        b = a + len(cluster)
+        if not hidden[a]:
+            for c in _kept(cluster):
                 made.append(c)
                 at.append(a)
                 upto.append(b)
+        a = b
     flat, want = "".join(made), passage.replace(" ", "")
     k = flat.find(want)
     return None if k < 0 else (at[k], upto[k + len(want) - 1])

@@ -87,23 +87,26 @@ def look_alikes(prototypes: dict[str, str]) -> dict[str, tuple[str, ...]]:
     return out
 
 
+def foreign_letters(alike: dict[str, tuple[str, ...]]) -> str:
+    """All letters of the other scripts that have twins of Latin ones or of each other; a text without any is spelled as it is."""
+    scripts = {script_of(c) for c in alike} - {"LATIN"}
+    return "".join([c for c in letters() if script_of(c) in scripts] + list(OWN_SCRIPT))
+
+
 class Spelling:
     """Spells texts consistently by a table of look-alikes."""
 
-    def __init__(self, alike: dict[str, tuple[str, ...]]):
+    def __init__(self, alike: dict[str, tuple[str, ...]], foreign: str | None = None):
         self.of = {c: {script_of(x): x for x in cs} for c, cs in alike.items()}
         self.first = {ord(c): cs[0] for c, cs in alike.items()} | {ord(k): v for k, v in OWN_SCRIPT.items()}
-        #: letters of the other scripts that have twins; a text without any is spelled as it is
-        scripts = {script_of(c) for c in alike} - {"LATIN"}
-        other = [c for c in letters() if script_of(c) in scripts] + list(OWN_SCRIPT)
-        self.foreign = regex.compile("[" + "".join(other) + "]")
+        self.foreign = frozenset(foreign_letters(alike) if foreign is None else foreign)
         self.resolved = lru_cache(maxsize=65536)(self._resolved)
         self.spelled = lru_cache(maxsize=65536)(self._spelled)
 
     def skeleton(self, text: str) -> str:
         """What texts share exactly when they look the same: forms() with every letter as the first of its class."""
         t = forms(text).strip()
-        if t.isascii() or not self.foreign.search(t):
+        if t.isascii() or self.foreign.isdisjoint(t):
             return t
         return unicodedata.normalize("NFC", unicodedata.normalize("NFD", t).translate(self.first))
 
@@ -137,7 +140,7 @@ class Spelling:
         that no script can spell takes that of most of its letters without a twin.
         """
         t = forms(text).strip()
-        if t.isascii() or not self.foreign.search(t):
+        if t.isascii() or self.foreign.isdisjoint(t):
             return t
         tokens = _TOKEN_RE.split(unicodedata.normalize("NFD", t).translate(self.first))
         votes: dict[str, int] = {"LATIN": 0}
@@ -168,6 +171,7 @@ def consistent_form(df: DataFrame, text: str = "text", alike: dict[str, tuple[st
     look_alikes(), by default of the confusable characters that come with Spark (some thousand letters, sent to every task).
     """
     alike = look_alikes(confusables(df.sparkSession)) if alike is None else alike
+    foreign = foreign_letters(alike)
 
     def made(texts: list, spelling: Spelling) -> list[list]:
         found = [None if t is None else spelling.consistent(t) for t in texts]
@@ -175,7 +179,7 @@ def consistent_form(df: DataFrame, text: str = "text", alike: dict[str, tuple[st
 
     fields = [T.StructField("consistent", T.StringType()), T.StructField("look", T.BinaryType()), T.StructField("own", T.BinaryType())]
     names = [f.name for f in fields]
-    return map_column(df, text, fields, made, keep=[c for c in df.columns if c not in names], prepare=lambda: Spelling(alike))
+    return map_column(df, text, fields, made, keep=[c for c in df.columns if c not in names], prepare=lambda: Spelling(alike, foreign))
 
 
 def _looks(df: DataFrame, key: str, text: str, alike) -> DataFrame:

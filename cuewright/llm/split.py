@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 
+import numpy as np
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuewright.llm.sentences import THRESHOLD, decide
+from cuewright.llm.sentences import Observed
 from cuewright.llm.text import CLOSERS, FINAL, UNSPACED_RE
 from cuewright.operators.keys import join_on, ms
 
@@ -38,13 +39,16 @@ def _sentence_cuts(text: str) -> list[int]:
     if not found:
         return found
     spans = [m.span() for m in regex.finditer(r"\S+", text)]
-    p = decide([text[a:b] for a, b in spans], [0] * len(spans), None)
-    ends = {a: p[i - 1] >= THRESHOLD for i, (a, _) in enumerate(spans) if i}
+    seen = Observed([text[a:b] for a, b in spans], [0] * len(spans), None)
+    goes = np.where(seen.settled != 0, seen.settled, seen.stated) < 0
+    ends = {a: not goes[i - 1] for i, (a, _) in enumerate(spans) if i}
     return [c for c in found if ends.get(c, True)]
 
 
 def structure(text: str) -> list[list[int]]:
     """Where nodes of each level begin, from the outermost level to the innermost; the last two are sentences' inner levels."""
+    if "\n" not in text:  # one line
+        return [[]]
     heads = [(m.start(), len(m.group(1))) for m in HEADING_RE.finditer(text)]
     levels = [[at for at, depth in heads if depth <= d] for d in range(1, HEADINGS + 1)] if heads else []
     of_head = {m.end() for m in HEADING_RE.finditer(text)}
