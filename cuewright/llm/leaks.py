@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuewright.llm.text import UNSPACED, forms, unspaced, without_structure
+from cuewright.llm.text import UNSPACED, UNSPACED_RE, forms, unspaced, without_structure
 
 WORDS = 12
 CHARS = 24
@@ -68,10 +68,16 @@ def _automata(items: list[tuple[int, str]], words: int, chars: int, part: int =
 _BUILT: dict = {}
 
 
+def _needs_unspaced(tight: ahocorasick.Automaton) -> bool:
+    """Whether every passage holds a character of an unspaced script, so that a document without any holds none of them."""
+    return all(UNSPACED_RE.search(p) for p in tight.keys())
+
+
 def _built(name: tuple, items: list, words: int, chars: int, part: int, parts: int):
     if _BUILT.get("name") != name:
         _BUILT.clear()
-        _BUILT.update(name=name, automata=_automata(items, words, chars, part, parts))
+        loose, tight = _automata(items, words, chars, part, parts)
+        _BUILT.update(name=name, automata=(loose, tight, _needs_unspaced(tight)))
     return _BUILT["automata"]
 
 
@@ -146,7 +152,7 @@ def _scan(docs: DataFrame, items: DataFrame, given, name: str, doc_key: str, ite
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        loose, tight = _built((name, part), given.value, words, chars, part, parts)
+        loose, tight, needs = _built((name, part), given.value, words, chars, part, parts)
         as_schema = to_arrow_schema(schema)
         for b in batches:
             out: list[list] = [[] for _ in range(5)]
@@ -164,7 +170,7 @@ def _scan(docs: DataFrame, items: DataFrame, given, name: str, doc_key: str, ite
                         for i in ids:
                             hits.setdefault(i, {}).setdefault(found, end)
                     p = p.replace(" ", "")
-                    for end, (n, ids) in tight.iter(p) if len(tight) else ():
+                    for end, (n, ids) in tight.iter(p) if len(tight) and not (needs and (p.isascii() or not UNSPACED_RE.search(p))) else ():
                         for i in ids:
                             hits.setdefault(i, {}).setdefault(p[end - n + 1 : end + 1], end)
                     for i, of in hits.items():
