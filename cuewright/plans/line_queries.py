@@ -397,8 +397,8 @@ x as (
   select media_id, chr(65279) || string_agg(line_no || chr(10) || a || ' --> ' || z || chr(10) || text || chr(10) || chr(10), '' order by line_no) as t
   from b where text <> '' and a is not null and z is not null group by all)
 select media_id, length(t) as chars, md5(t) as md5 from x""",
-    "q_words_json": """with d as (select media_id, idx, min(struct_pack(l := loaded_at, s := "start", t := text)) as r from words where take_no = 0 group by all)
-select media_id, count(*) as words, count(r.t) as texts, cast(sum(cast(round(r.s * 1000) as bigint)) as bigint) as starts from d group by all""",
+    "q_words_json": """with d as (select media_id, take_no, idx, min(struct_pack(l := loaded_at, s := "start", t := text)) as r from words group by all)
+select media_id || '#' || take_no as media_id, count(*) as words, count(r.t) as texts, cast(sum(cast(round(r.s * 1000) as bigint)) as bigint) as starts from d group by media_id, take_no""",
     "q_output_names": "select distinct media_id, media_id || '_CN' as stem from media",
     "q_languages": f"select tgt_lang, count(*) as n, upper(tgt_lang) in ({', '.join(repr(c) for c in lexicon.LANGUAGES.values())}) as known, 'JP' as japanese from parsed group by all",
     "q_windows_accurate": _SEG + _windows("accurate") + " select * from win",
@@ -493,7 +493,16 @@ select media_id, take_no, line_no, greatest(200, cast(floor(n * 1.5) as integer)
     "q_requests": _SEG + " select sha256(concat_ws(chr(31), 'punctuate', 'Add marks.', text, '64', '0.0')) as request_id, count(*) as n from s group by all",
     "q_exchange_none": _SEG + " select false as ok, 1 as attempts, count(distinct text) as n from s",
     "q_translate_none": _SEG + " select media_id, take_no, line_no, text as translated, 'kept_source' as state from s",
-    "q_replay": _SEG + " select 'kept_source' as state, count(*) as n from s where line_no <= 4",
+    "q_replay": _SEG
+    + _windows("accurate")
+    + f""",
+u as (
+  select media_id, take_no, win, cast(count(*) filter (role = 'translate') as integer) as lines,
+         nullif(string_agg(text, chr(10) order by line_no) filter (role = 'before'), '') as b, nullif(string_agg('[' || no || '] ' || text, chr(10) order by line_no) filter (role = 'translate'), '') as t,
+         nullif(string_agg(text, chr(10) order by line_no) filter (role = 'after'), '') as a from wl group by all),
+pr as (select *, concat_ws(chr(10) || chr(10), 'Before:' || chr(10) || b, 'Lines to translate:' || chr(10) || t, 'After:' || chr(10) || a) as prompt from u),
+kp as (select distinct prompt from pr where win = 0 order by prompt limit {REPLAYED})
+select case when prompt in (select prompt from kp) then 'translated' else 'kept_source' end as state, cast(sum(lines) as bigint) as n from pr group by all""",
     "q_translate_echo": _SEG
     + rf""",
 e as (
