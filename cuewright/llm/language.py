@@ -16,8 +16,6 @@ BITS = 15
 ORDERS = (1, 2, 3, 4)
 #: Languages a model may have: the labels of most rows. Rows with other labels do not train; texts asked for in them are judged by script.
 MAX_LANGUAGES = 200
-#: The model is fitted on about so many labelled rows, drawn by the hash of their text; on all where there are fewer.
-TRAIN_ROWS = 40_000
 NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 
 
@@ -76,14 +74,8 @@ class LanguageModel:
         return sums / np.maximum(n, 1)[:, None], n
 
 
-def drawn(df: DataFrame, text: str, rows: int) -> DataFrame:
-    """About so many rows of df, by the hash of their text; all if there are fewer."""
-    share = min(1.0, rows / max(df.count(), 1))
-    return df if share == 1 else df.where(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < int(share * 1_000_000))
-
-
-def train_language_model(df: DataFrame, text: str, label: str, train_rows: int = TRAIN_ROWS) -> LanguageModel:
-    """Counts the hashed n-grams of about train_rows labelled rows, per label; runs when called.
+def train_language_model(df: DataFrame, text: str, label: str) -> LanguageModel:
+    """Counts the hashed n-grams of all labelled rows, per label; runs when called.
 
     Each task adds up its rows before the shuffle; the result has at most 2**15 counts a label. Rows
     with null text or label do not train.
@@ -108,7 +100,6 @@ def train_language_model(df: DataFrame, text: str, label: str, train_rows: int =
             yield pa.RecordBatch.from_arrays([pa.array([lab] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(table[at], pa.int64())], names=["label", "b", "n"])
 
     rows = df.select(F.col(text).alias("t"), F.lower(F.trim(label)).alias("l")).where(F.col("t").isNotNull() & F.col("l").isNotNull())
-    rows = drawn(rows, "t", train_rows)
     known = [r[0] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).collect()]
     rows = rows.where(F.col("l").isin(known)) if known else rows
     got = rows.mapInArrow(count, schema).groupBy("label", "b").agg(F.sum("n").alias("n")).toArrow()

@@ -53,6 +53,18 @@ def test_defects(spark):
     assert Pa.judged_pairs(df.where("seg_no < 0"), ["seg_no"]).count() == 0
 
 
+def test_pair_models_are_fitted_on_every_reply(spark, monkeypatch):
+    n = 50_000
+    replies = spark.range(n).selectExpr("id", "'one two three' as source", "translate(lpad(id, 6, '0'), '0123456789', 'abcdefghij') as reply", "'en' as target")
+    counts, fitted = [], []
+    made, table = La.LanguageModel.__init__, Pa.breaking_table
+    monkeypatch.setattr(La.LanguageModel, "__init__", lambda model, languages, c: counts.append(c.sum()) or made(model, languages, c))
+    monkeypatch.setattr(Pa, "breaking_table", lambda whole, endings: fitted.append((whole.sum(), endings.sum())) or table(whole, endings))
+    Pa.judged_pairs(replies, ["id"])
+    assert counts == [n * (6 + 7 + 6 + 5)]  # n-grams of one to four characters, blanks around the word included
+    assert fitted == [(n, n)]
+
+
 def test_reply_pairs(spark, rows):
     p = spark.createDataFrame([("m", 0, 1, 1, 2, "de", "r", 1), ("m", 0, 1, 1, 2, "de", "r", 5), ("m", 0, 4, None, None, "de", None, 1), ("m", 0, 9, 9, 9, "de", "x", 1), (None, None, 0, 0, 0, None, "y", 1)], "media_id string, take_no int, seg_no int, n int, m int, tgt_lang string, text string, loaded_at int")
     s = spark.createDataFrame([("m", 0, i, f"s{i}", 1) for i in range(5)] + [(None, None, 0, "z", 1)], "media_id string, take_no int, seg_no int, text string, loaded_at int")
