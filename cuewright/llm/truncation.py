@@ -29,7 +29,7 @@ from cuewright.session import cut
 
 #: Tables of a fixed size, whatever the corpus: context lengths, and buckets of each.
 ORDERS = (10, 6, 4)
-BITS = 20
+BITS = 22
 #: Each context is counted in two rows under unlike hashes; the smaller count is read, so that a rare context seldom borrows a frequent one's.
 ROWS = 2
 #: A context decides from so many occurrences on; below, a shorter one does. In marked texts only the ends of
@@ -42,8 +42,8 @@ PRIOR = {1: (0.1, 10), 2: (0.1, 10), 3: (0.15, 20), 4: (0.15, 20)}
 #: Log-odds of ending below which a text was cut where texts are cut as often as on the whole; each language and source moves it
 #: by the odds of its own share of cuts, at most by MOVE, and has its share from all its rows and PSEUDO of the usual kind.
 CUT, MOVE, PSEUDO = -3.5, 1.0, 50.0
-#: The model is fitted on about so many documents, drawn by the hash of their text, in one task; on all where there are fewer.
-TRAIN_DOCS = 20_000
+#: Tables leave a task in parts of so many buckets, whose sums are made in so many tasks.
+PART, SUMS = 1 << 16, 16
 PLAIN, LIST, THAI, MARKED, SRT = 1, 2, 3, 4, 5
 #: Kinds of places in a text, by the last character or, in subtitle files and lists, by the line.
 KINDS = ("word", "final", "ellipsis", "other", "number line", "time line", "before =", "after =")
@@ -212,6 +212,25 @@ class EndTables:
         self.place_all = np.zeros_like(self.place_ends)
         self.asked: dict[tuple[str, int], float | None] = {}
 
+    def __getstate__(self) -> dict:
+        """What tasks are sent: the places of the tables that hold something."""
+        at = np.flatnonzero(self.all)
+        tables = {name: getattr(self, name).ravel()[at] for name in ("ends", "all")}
+        signed = np.flatnonzero(self.sign_offs)
+        return self.__dict__ | tables | {"at": at, "asked": {}, "sign_offs": (signed, self.sign_offs[signed])}
+
+    def __setstate__(self, state: dict) -> None:
+        empty = EndTables()
+        at = state.pop("at")
+        for name in ("ends", "all"):
+            table = getattr(empty, name)
+            table.ravel()[at] = state[name]
+            state[name] = table
+        signed, values = state["sign_offs"]
+        state["sign_offs"] = np.zeros(1 << BITS)
+        state["sign_offs"][signed] = values
+        self.__dict__ |= state
+
     def finish(self) -> EndTables:
         """Makes log-odds of the counts of places, after taking out of the ends what cuts put there."""
         self.place_odds = np.zeros_like(self.place_ends)
@@ -252,7 +271,7 @@ class EndTables:
             ok = (h != 0) & (points != 32) & ~(last & ~ended)
             for row in range(ROWS):
                 b = self.places(h[ok], style, row)
-                self.all[k * ROWS + row] += np.bincount(b, minlength=1 << BITS).astype(np.int32)
+                np.add.at(self.all[k * ROWS + row], b, 1)
                 np.add.at(self.ends[k * ROWS + row], b[ended[ok]], 1)
 
     @staticmethod
@@ -324,12 +343,23 @@ class EndTables:
 _PLACE_ENDS, _PLACE_ALL = len(ORDERS) * ROWS + 1, len(ORDERS) * ROWS + 2
 
 
-def train_end_tables(df: DataFrame, text: str, train_docs: int = TRAIN_DOCS) -> EndTables:
-    """Fits the model on about train_docs rows, all of them where there are fewer; runs when called.
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts by the place of their bytes, of which most are zero."""
+    return zlib.compress(np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def train_end_tables(df: DataFrame, text: str) -> EndTables:
+    """Fits the model on all rows; runs when called.
 
-    The drawn texts, a bounded number, meet in one task, so that only counts that can decide anything leave it.
+    Each task adds up its rows and gives its tables in packed parts; parts of the same place are added up
+    together, and only counts that can decide anything leave that sum.
     """
     f = T.StructField
+    part = T.StructType([f("k", T.IntegerType()), f("p", T.IntegerType()), f("e", T.BinaryType()), f("a", T.BinaryType())])
     schema = T.StructType([f("k", T.IntegerType()), f("b", T.IntegerType()), f("e", T.LongType()), f("a", T.LongType())])
 
     def count(batches):
@@ -351,16 +381,25 @@ def train_end_tables(df: DataFrame, text: str, train_docs: int = TRAIN_DOCS) ->
             tables.add_views(some, style)
         every = [*zip(tables.ends, tables.all), (tables.place_ends.ravel(), tables.place_all.ravel())]
         for k, (e, a) in enumerate(every):
+            for p in range(0, len(a), PART):
+                if a[p : p + PART].any() or e[p : p + PART].any():
+                    yield pa.RecordBatch.from_pylist([{"k": k, "p": p, "e": _packed(e[p : p + PART]), "a": _packed(a[p : p + PART])}], schema=pa.schema([("k", pa.int32()), ("p", pa.int32()), ("e", pa.binary()), ("a", pa.binary())]))
+
+    def add(batches):
+        import pyarrow as pa
+
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for k, p, e, a in zip(*(batch.column(c).to_pylist() for c in ("k", "p", "e", "a"))):
+                both = np.stack([_unpacked(e), _unpacked(a)])
+                sums[k, p] = sums[k, p] + both if (k, p) in sums else both
+        for (k, p), (e, a) in sums.items():
             least = min(ENOUGH.values()) if k < len(ORDERS) * ROWS else 1  # smaller counts decide nothing
-            at = np.flatnonzero(a >= least)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(e[at].astype(np.int64)), pa.array(a[at].astype(np.int64))], names=["k", "b", "e", "a"])
-
-    rows = df.select(F.col(text).alias("t"))
-    share = min(1.0, train_docs / max(rows.count(), 1))
-    rows = rows.where(F.col("t").isNotNull() & (F.col("t") != ""))
-    if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(share * 1_000_000))
-    got = rows.repartition(1).mapInArrow(count, schema).toArrow()
+            at = np.flatnonzero((a >= least) | (k >= _PLACE_ENDS) & (e > 0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array((p + at).astype(np.int32)), pa.array(e[at]), pa.array(a[at])], names=["k", "b", "e", "a"])
+
+    rows = df.select(F.col(text).alias("t")).where(F.col("t").isNotNull() & (F.col("t") != ""))
+    got = rows.mapInArrow(count, part).repartition(SUMS, "k", "p").mapInArrow(add, schema).toArrow()
     tables = EndTables()
     k, b, e, a = (got.column(c).to_numpy() for c in ("k", "b", "e", "a"))
     of = k < _PLACE_ENDS
@@ -410,15 +449,15 @@ def judge(text: str | None, tables: EndTables) -> float | None:
     return odds if of is None else of  # the longer context takes the place of the shorter
 
 
-def truncated(docs: DataFrame, keys: list[str], text: str = "text", by: tuple[str, ...] = ("lang", "source"), train_docs: int = TRAIN_DOCS) -> DataFrame:
+def truncated(docs: DataFrame, keys: list[str], text: str = "text", by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """Adds `cut` (whether the text was cut off), `log_odds` (of ending where it ends) and `threshold` to keys.
 
-    The model is fitted on a bounded sample when called; thresholds come from all rows of each value of the columns
+    The model is fitted on all rows when called; thresholds come from all rows of each value of the columns
     `by` (those that exist; nulls are a value), by their share of texts below the usual threshold. Null, empty and
     blank texts have no odds and are not cut; texts that end in a broken character are. Repeated rows are judged alike.
     """
     by_ = [c for c in by if c in docs.columns]
-    given = docs.sparkSession.sparkContext.broadcast(train_end_tables(docs, text, train_docs))
+    given = docs.sparkSession.sparkContext.broadcast(train_end_tables(docs, text))
     own = [c for c in by_ if c not in keys]
     made = T.StructType([*(docs.schema[k] for k in [*keys, *own]), T.StructField("log_odds", T.DoubleType())])
 

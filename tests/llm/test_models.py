@@ -1,3 +1,4 @@
+import pickle
 import random
 
 from cuewright.llm import grams
@@ -93,3 +94,13 @@ def test_truncation(spark):
     assert [k for k in range(3000, 3000 + len(cut)) if not got[k]] == []
     assert sum(got[i] for i in range(300)) <= 3 and not any(got[1000 + i] for i in range(12))
     assert Tr.truncated(df.where("doc_id < 0"), ["doc_id"]).count() == 0
+
+
+def test_end_tables_are_fitted_on_every_text(spark):
+    n = 30_000
+    texts = spark.range(n, numPartitions=3).selectExpr("concat('The boat left the pier ', id, ' times.') as text")
+    tables = Tr.train_end_tables(texts, "text")
+    assert tables.place_ends.sum() == n == tables.all[0].max()
+    again = pickle.loads(pickle.dumps(tables))
+    assert (again.all == tables.all).all() and (again.ends == tables.ends).all() and (again.sign_offs == tables.sign_offs).all()
+    assert again.log_odds("the boat left", Tr.PLAIN) == tables.log_odds("the boat left", Tr.PLAIN) is not None
