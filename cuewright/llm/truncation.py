@@ -269,10 +269,10 @@ class EndTables:
         for k, n in enumerate(ORDERS):
             h = windows.hashes(n)
             ok = (h != 0) & (points != 32) & ~(last & ~ended)
-            for row in range(ROWS):
-                b = self.places(h[ok], style, row)
-                np.add.at(self.all[k * ROWS + row], b, 1)
-                np.add.at(self.ends[k * ROWS + row], b[ended[ok]], 1)
+            for tables, of in ((self.all, ok), (self.ends, ok & ended)):
+                seen, times = np.unique(h[of], return_counts=True)
+                for row in range(ROWS):
+                    np.add.at(tables[k * ROWS + row], self.places(seen, style, row), times.astype(np.int32))
 
     @staticmethod
     def places(h: np.ndarray, style: int, row: int) -> np.ndarray:
