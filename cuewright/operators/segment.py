@@ -250,10 +250,13 @@ def parts_of(w: Column, cuts: Column) -> Column:
 
 _FRAGILE, _STARTERS, _SUBJECTS = set(lexicon.FRAGILE), set(lexicon.CLAUSE_STARTERS), set(lexicon.CLAUSE_SUBJECTS)
 _COMMA_STARTERS = _STARTERS | set(lexicon.ELABORATION_STARTERS)
+_INTENSIFIED, _SO_SUFFIXES = set(lexicon.SO_INTENSIFIED), tuple(lexicon.SO_SUFFIXES)
+#: What the column rules strip; Python's own strip() also takes U+001C to U+001F.
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _root(word: str, trailing: str = ",.") -> str:
-    return word.strip().lower().rstrip(trailing).split("'")[0]
+    return word.strip(_SPACE).lower().rstrip(trailing).split("'")[0]
 
 
 def _listed(right: list[str]) -> bool:
@@ -369,40 +372,90 @@ def run_on_cuts(words: list[str], times: list[tuple[int, int]], candidates: list
     return sorted(out)
 
 
-def rule_cuts(words: list[str], starts: list, ends: list, pairs: set[tuple[str, str]], min_words: int = MIN_WORDS) -> list[int]:
-    """All cuts of one group: at commas between clauses; in parts over the limits before conjunctions; in what is still over them by words
-    or characters wherever it has to be. The same as comma_cuts, conjunction_cuts and emergency_cuts one after the other, in
-    time that grows with the words of a group, whatever its length.
-    """
-    import re
-
+def _lists(words: list[str]) -> Callable[[int, int], bool]:
+    """Whether the words from a up to b go on as a list, for any a and b, after one pass over the words."""
     n = len(words)
-    low = [w.strip().lower().rstrip(".,!?;'\"") for w in words]
+    low = [w.strip(_SPACE).lower().rstrip(".,!?;'\"") for w in words]
     joins = [n] * (n + 1)  # the nearest and/or from each word on
     for i in range(n - 1, -1, -1):
         joins[i] = i if low[i] in ("and", "or") else joins[i + 1]
 
     def listed(a: int, b: int) -> bool:
-        """Whether the words from a up to b go on as a list."""
         if a < b and low[a].split("'")[0] in _SUBJECTS:
             return False
         j = joins[a] if a < n else n
         return j < b - 1 and not any(low[x] in _STARTERS or low[x] == "to" for x in range(j + 1, min(j + 3, b)))
 
-    # commas, from right to left
-    commas: list[int] = []
+    return listed
+
+
+def clause_commas(words: list[str], min_words: int = MIN_WORDS) -> list[int]:
+    """The cuts of comma_cuts, in one pass from right to left."""
+    n = len(words)
+    listed = None
+    out: list[int] = []
     stop, end = n - 1, n  # the next comma after the one looked at; where what is left ends
-    found: list[int] = []
     for i in range(n - 1, -1, -1):
-        if words[i].endswith(",") and i < n - 1 and _root(words[i + 1]) in _COMMA_STARTERS and not listed(i + 1, stop + 1):
-            found.append(i)
-        if words[i].strip().endswith(","):
+        if "," not in words[i]:
+            continue
+        if i >= min_words and end - i - 1 >= min_words and i < n - 1 and words[i].endswith(",") and _root(words[i + 1]) in _COMMA_STARTERS:
+            listed = listed or _lists(words)
+            if not listed(i + 1, stop + 1):
+                out.append(i + 1)
+                end = i + 1
+        if words[i].strip(_SPACE).endswith(","):
             stop = i
-    for i in found:
-        if i >= min_words and end - i - 1 >= min_words:
-            commas.append(i + 1)
-            end = i + 1
-    commas.reverse()
+    return out[::-1]
+
+
+def open_conjunctions(words: list[str], min_words: int = MIN_WORDS) -> list[int]:
+    """The positions of ambiguous_conjunctions."""
+    n = len(words)
+    return [i for i in range(min_words, n - min_words + 1) if _undecided(words, i)]
+
+
+def _undecided(words: list[str], i: int) -> bool:
+    word = words[i].lower().rstrip(",.")
+    if word not in ("and", "so", "or"):
+        return False
+    after = _root(words[i + 1]) if i + 1 < len(words) else ""
+    return after not in _STARTERS and not (word == "so" and _intensified(after))
+
+
+def _intensified(word: str) -> bool:
+    return word in _INTENSIFIED or (word.endswith("ly") and len(word) > 4) or word.endswith(_SO_SUFFIXES)
+
+
+def clause_conjunctions(words: list[str], pairs: set[tuple[str, str]], confirmed: set[int] | frozenset[int] = frozenset(), min_words: int = MIN_WORDS) -> list[int]:
+    """The cuts of conjunction_cuts with the given pairs protected, in one pass from right to left, whatever the number of words."""
+    n = len(words)
+    listed = None
+    out: list[int] = []
+    end = n
+    for i in range(n - 1, -1, -1):
+        word = words[i].lower().rstrip(",.")
+        if word not in ("but", "and", "or", "so") or not (i >= min_words and end - i >= min_words):
+            continue
+        if word != "but" and not (i + 1 < n and _root(words[i + 1]) in _STARTERS) and not (i in confirmed and _undecided(words, i)):
+            continue
+        if i > 0 and not words[i - 1].rstrip(_SPACE).endswith((".", "?", "!")) and (_pair_word(words[i - 1]), _pair_word(words[i])) in pairs:
+            continue
+        if word in ("and", "or"):
+            listed = listed or _lists(words)
+            if listed(i + 1, n):
+                continue
+        out.append(i)
+        end = i
+    return out[::-1]
+
+
+def rule_cuts(words: list[str], starts: list, ends: list, pairs: set[tuple[str, str]], min_words: int = MIN_WORDS) -> list[int]:
+    """All cuts of one group: at commas between clauses; in parts over the limits before conjunctions; in what is still over them by words
+    or characters wherever it has to be. The same as comma_cuts, conjunction_cuts and emergency_cuts one after the other, in
+    time that grows with the words of a group, whatever its length.
+    """
+    n = len(words)
+    commas = clause_commas(words, min_words)
 
     def size(a: int, b: int) -> tuple[int, int]:
         return b - a, sum(len(w) + 1 for w in words[a:b])
@@ -414,22 +467,7 @@ def rule_cuts(words: list[str], starts: list, ends: list, pairs: set[tuple[str,
         many, chars = size(a, b)
         last = ends[b - 1] if ends[b - 1] is not None else starts[b - 1]
         long = many > MAX_WORDS or chars > MAX_CHARS or (last is not None and starts[a] is not None and last - starts[a] > MAX_MS)
-        before: list[int] = []
-        if long:
-            end = b
-            for i in range(b - 1, a - 1, -1):
-                word = words[i].lower().rstrip(",.")
-                if word != "but" and not (word in ("and", "or", "so") and i + 1 < b and _root(words[i + 1]) in _STARTERS):
-                    continue
-                if not (i - a >= min_words and end - i >= min_words):
-                    continue
-                if i > a and not re.search(r"[.?!]\s*\Z", words[i - 1]) and (_pair_word(words[i - 1]), _pair_word(words[i])) in pairs:
-                    continue
-                if word in ("and", "or") and listed(i + 1, b):
-                    continue
-                before.append(i)
-                end = i
-            before.reverse()
+        before = [a + c for c in clause_conjunctions(words[a:b], pairs, min_words=min_words)] if long else []
         for x, y in zip([a, *before], [*before, b]):
             if x > a:
                 out.append(x)
@@ -442,7 +480,64 @@ def rule_cuts(words: list[str], starts: list, ends: list, pairs: set[tuple[str,
 def _pair_word(word: str) -> str:
     import re
 
-    return re.sub(r"'(s|re|ve|m|ll|d|t)\Z", "", word.strip().lower().rstrip(".,!?;:'\""))
+    return re.sub(r"'(s|re|ve|m|ll|d|t)\Z", "", word.strip(_SPACE).lower().rstrip(".,!?;:'\""))
+
+
+def over_in_batch(w, with_duration: bool = True) -> list[bool]:
+    """array_over of a batch's arrays of words."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    at = w.offsets.to_numpy().astype("int64")
+    text, start, end = (w.values.field(c) for c in ("text", "s_ms", "e_ms"))
+    chars = np.concatenate([[0], np.cumsum(pc.fill_null(pc.utf8_length(text), -1).to_numpy(zero_copy_only=False).astype("int64") + 1)])
+    many = np.diff(at)
+    over = (many > MAX_WORDS) | (chars[at[1:]] - chars[at[:-1]] > MAX_CHARS)
+    if with_duration:
+        none = many == 0
+        first, last = (pa.array(i, pa.int64(), mask=none) for i in (at[:-1], at[1:] - 1))
+        dur = pc.subtract(pc.coalesce(end.take(last), start.take(last)), start.take(first))
+        over |= pc.fill_null(pc.greater(dur, MAX_MS), False).to_numpy(zero_copy_only=False)
+    return over.tolist()
+
+
+def cut_rows(df: DataFrame, keep: list[str], level: str, fn: Callable[..., list[int]], when: str, extra: list[str] | None = None, long_only: bool = False, find: Callable[[list[str]], list[int]] | None = None) -> DataFrame:
+    """One row per part of each row's words w: the kept columns, the part's number in column `level`, w and, with find, `at`.
+
+    A Python function finds the cuts of rows where `when` holds (with long_only, of those over the limits) from Arrow arrays of texts, starts
+    and ends and the values of the extra columns. `at` is what find says of the texts of parts over the limits where `when` holds,
+    elsewhere empty. Parts are slices of the batch's words, which are not copied.
+    """
+    f = T.StructField
+    made = [*(df.schema[k] for k in keep), f(level, T.IntegerType()), df.schema["w"], *([f("at", T.ArrayType(T.IntegerType()))] if find else [])]
+    extra = extra or []
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            w = b.column("w")
+            at = w.offsets.to_pylist()
+            text, start, end = (w.values.field(c) for c in ("text", "s_ms", "e_ms"))
+            yes = b.column(when).to_pylist()
+            ask = [x and y for x, y in zip(yes, over_in_batch(w))] if long_only else yes
+            more = {c: b.column(c) for c in extra}
+            of, number, bounds = [], [], []
+            for row, (x, y, go) in enumerate(zip(at, at[1:], ask)):
+                cuts = fn(text.slice(x, y - x), start.slice(x, y - x), end.slice(x, y - x), *(c[row].as_py() for c in more.values())) if go and y > x + 1 else []
+                of += [row] * (len(cuts) + 1)
+                number += range(len(cuts) + 1)
+                bounds += [x, *(x + c for c in cuts)]
+            parts = pa.ListArray.from_arrays(pa.array([*bounds, at[-1]], pa.int32()), w.values)
+            take = pa.array(of, pa.int32())
+            columns = [*(b.column(k).take(take) for k in keep), pa.array(number, pa.int32()), parts]
+            if find:
+                found = [find(text.slice(x, y - x).to_pylist()) if long and yes[row] else [] for row, x, y, long in zip(of, bounds, [*bounds[1:], at[-1]], over_in_batch(parts))]
+                columns.append(pa.array(found, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names=[c.name for c in made])
+
+    return df.select(*dict.fromkeys([*keep, when, "w", *extra])).mapInArrow(run, T.StructType(made))
 
 
 def cut_into_cues(df: DataFrame, keys: list[str], column: str, when: str, fn: Callable[[list, list, list], list[int]]) -> DataFrame:

@@ -7,6 +7,7 @@ comes, the rules decide alone, so with the backend `none` the result is that of
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from cuewright.operators import segment as S
 from cuewright.operators.keys import TAKE, join_on, spread_over_blocks
 from cuewright.operators.ordered import dense
 from cuewright.plans.exchange import Backend, diff_marks, exchange, requests, token_budget, verdicts
-from cuewright.session import cut
+from cuewright.session import cut as cut_lineage
 
 #: Our own wording of what the model is asked.
 MARKS = "Put sentence marks and commas into the given text. Do not change, add or drop words. Answer with the text alone."
@@ -25,6 +26,7 @@ CLAUSES = "For each numbered place, say YES if the word begins a new clause ther
 FRAGMENTS = "For each numbered pair, say CONTINUATION if the second line goes on with the first and NEW_SENTENCE if not. Answer with these words, parted by commas."
 #: Fragments are asked in lots of so many cues.
 LOT = 64
+cut = partial(cut_lineage, sized=False)
 
 
 def _said(asked: DataFrame, make: Callable[[], Backend], store: str | None, policy: dict) -> DataFrame:
@@ -70,22 +72,21 @@ def segment_with_model(words: DataFrame, make: Callable[[], Backend], keys: list
     pairs = lexicon.default_pairs() if pairs is None else pairs
     grouped = cut(S.sentence_groups(words, keys))
     arrays = cut(S.gathered(grouped, keys, "group_id"))
-    table = S.group_table(grouped, keys)
-    slow = table.groupBy(*keys).agg(F.max("is_long").alias("_slow"), F.max("we").alias("_last"), F.min("ws").alias("_first"))
+    slow = arrays.groupBy(*keys).agg(F.max(S.array_over(F.col("w"))).alias("_slow"), F.max(F.element_at("w", -1).pos).alias("_last"), F.min(F.get("w", F.lit(0)).pos).alias("_first"))
     slow = spread_over_blocks(slow.where("_slow"), "_first", "_last", 4096).select(*keys, "block", "_slow")
 
     # marks inside blocks of long groups
-    around = S.context_of(table, keys)
-    blocks = long_blocks(arrays, keys).withColumn("raw", _text(F.col("w")))
-    context = join_on(blocks, around.select(*keys, F.col("group_id").alias("first"), "left_ws", "left_we"), [*keys, "first"], "left").drop("left_ws", "left_we")
+    blocks = long_blocks(arrays, keys).withColumn("raw", _text(F.col("w"))).withColumn("ws", F.get("w", F.lit(0)).pos)
     before = arrays.select(*keys, (F.col("group_id") + 1).alias("first"), F.slice(F.reverse("w"), 1, S.MAX_WORDS).alias("_b"))
-    context = join_on(context, before, [*keys, "first"], "left").withColumn("before", _text(F.reverse("_b"))).drop("_b")
+    context = join_on(blocks, before, [*keys, "first"], "left").withColumn("before", _text(F.reverse("_b"))).drop("_b")
     user = F.concat_ws("\n\n", F.concat(F.lit("Before: "), F.col("before")), F.concat(F.lit("Text: "), F.col("raw")))
-    asked = cut(requests(context, "marks", MARKS, user, token_budget("text", F.char_length("raw")), keep=[*keys, "first", "w", "raw"]))
+    asked = cut(requests(context, "marks", MARKS, user, token_budget("text", F.char_length("raw")), keep=[*keys, "ws", "raw"]))
     marked = diff_marks(asked.join(_said(asked, make, store, policy), "request_id", "left"), "raw", "content")
-    marked = cut(marked.select(*keys, F.get("w", F.lit(0)).pos.alias("ws"), "new_breaks", "new_commas"))
+    marked = cut(marked.select(*keys, "ws", "new_breaks", "new_commas"))
     new = marked.select(*keys, F.explode(F.transform("new_breaks", lambda i: F.col("ws") + i)).alias("b"))
-    against = S.break_flags(words, lexicon.pairs_table(words.sparkSession, pairs), keys).where("fragile or phrase or intensifier")
+    # a break's flags need the words next to it and no others
+    beside = new.select(*keys, F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("pos")).distinct()
+    against = S.break_flags(join_on(words, beside, [*keys, "pos"], "left_semi"), lexicon.pairs_table(words.sparkSession, pairs), keys).where("fragile or phrase or intensifier")
     new = join_on(new, against.select(*keys, "b"), [*keys, "b"], "left_anti")
     commas = marked.select(*keys, F.explode(F.transform("new_commas", lambda i: F.col("ws") + i)).alias("pos"))
     ends = grouped.where(S.ends_sentence("text")).select(*keys, (F.col("pos") + 1).alias("b"))
@@ -93,34 +94,32 @@ def segment_with_model(words: DataFrame, make: Callable[[], Backend], keys: list
     pieces = S.slice_at(S.inject_commas(words, commas, keys), breaks, keys)
     pieces = join_on(pieces.withColumn("block", F.floor(F.col("pos") / 4096).cast("long")), slow, [*keys, "block"], "left")
     g = pieces.groupBy(*keys, "piece").agg(F.sort_array(F.collect_list(F.struct("pos", "s_ms", "e_ms", "text"))).alias("w"), F.max(F.coalesce("_slow", F.lit(False))).alias("_s"))
-    none = F.array().cast("array<int>")
 
     # commas, then conjunctions with verdicts
-    a = g.withColumn("_cuts", F.when(F.col("_s") & (F.size("w") >= 2), S.comma_cuts(F.col("w"), min_words)).otherwise(none))
-    a = cut(S._exploded(a, keys, ["piece", "_s"], F.col("_cuts"), "p1"))
-    asked = a.where(F.col("_s") & S.array_over(F.col("w"))).withColumn("at", S.ambiguous_conjunctions(F.col("w"), min_words)).where(F.size("at") > 0)
+    known = set(pairs)
+    a = S.cut_rows(g, [*keys, "piece", "_s"], "p1", lambda t, s, e: S.clause_commas(t.to_pylist(), min_words), "_s", find=lambda t: S.open_conjunctions(t, min_words))
+    a = cut(a)
     places = F.array_join(F.transform("at", lambda i, k: F.concat_ws(" ", (k + 1).cast("string"), F.lit("before word"), (i + 1).cast("string"), F.get("w", i).text)), "\n")
-    asked = cut(requests(asked, "clauses", CLAUSES, F.concat_ws("\n", _text(F.col("w")), places), token_budget("verdicts", F.size("at")), keep=[*keys, "piece", "p1", "at"]))
-    said = asked.join(_said(asked, make, store, policy), "request_id", "left").withColumn("v", verdicts("content", F.size("at")))
-    confirmed = said.select(*keys, "piece", "p1", F.filter("at", lambda i, k: F.coalesce(F.get("v", k), F.lit(False))).alias("_ok"))
-    a = join_on(a, confirmed, [*keys, "piece", "p1"], "left")
-    cuts = S.conjunction_cuts(F.col("w"), F.coalesce("_ok", none), S.protected_positions(F.col("w"), pairs), min_words)
-    a = a.withColumn("_cuts", F.when(F.col("_s") & S.array_over(F.col("w")), cuts).otherwise(none))
-    b = cut(S._exploded(a, keys, ["piece", "p1", "_s"], F.col("_cuts"), "p2"))
+    asked = cut(requests(a.where(F.size("at") > 0), "clauses", CLAUSES, F.concat_ws("\n", _text(F.col("w")), places), token_budget("verdicts", F.size("at")), keep=[*keys, "piece", "p1", "at"]))
+    said = asked.join(_said(asked, make, store, policy), "request_id", "left").select(*keys, "piece", "p1", verdicts("content", F.size("at")).alias("v"))
+    b = join_on(a, said, [*keys, "piece", "p1"], "left")
+
+    def clauses(t, s, e, at: list[int], v: list[bool] | None) -> list[int]:
+        return S.clause_conjunctions(t.to_pylist(), known, {i for i, yes in zip(at, v or []) if yes}, min_words)
+
+    b = cut(S.cut_rows(b, [*keys, "piece", "p1", "_s"], "p2", clauses, "_s", ["at", "v"], long_only=True))
 
     # run-ons: marks again, cut at the most balanced ones
     asked = b.where(F.col("_s") & _over_text(F.col("w"))).withColumn("raw", _text(F.col("w")))
-    asked = cut(requests(asked, "run-ons", MARKS, F.col("raw"), token_budget("text", F.char_length("raw")), keep=[*keys, "piece", "p1", "p2", "w", "raw"]))
+    asked = cut(requests(asked, "run-ons", MARKS, F.col("raw"), token_budget("text", F.char_length("raw")), keep=[*keys, "piece", "p1", "p2", "raw"]))
     marked = diff_marks(asked.join(_said(asked, make, store, policy), "request_id", "left"), "raw", "content")
-    marked = marked.withColumn("_r", F.transform("w", lambda x, i: F.struct(x.text.alias("t"), x.s_ms.alias("s"), F.coalesce(x.e_ms, x.s_ms).alias("e"), F.array_contains("new_breaks", i).alias("c"))))
-    known = set(pairs)
+    b = join_on(b, marked.select(*keys, "piece", "p1", "p2", "new_breaks"), [*keys, "piece", "p1", "p2"], "left").withColumn("_marked", F.coalesce(F.size("new_breaks") > 0, F.lit(False)))
 
-    def run_ons(w: list) -> list[int]:
-        return S.run_on_cuts([x["t"] for x in w], [(x["s"], x["e"]) for x in w], [i for i, x in enumerate(w) if x["c"]], known, min_words=min_words)
+    def run_ons(t, s, e, at: list[int]) -> list[int]:
+        s = s.to_pylist()
+        return S.run_on_cuts(t.to_pylist(), [(x, x if y is None else y) for x, y in zip(s, e.to_pylist())], at, known, min_words=min_words)
 
-    marked = S.cut_arrays(marked.select(*keys, "piece", "p1", "p2", "_r"), "_r", "_cuts", run_ons)
-    b = join_on(b, marked.select(*keys, "piece", "p1", "p2", "_cuts"), [*keys, "piece", "p1", "p2"], "left").withColumn("_cuts", F.coalesce("_cuts", none))
-    c = cut(_numbered(S._exploded(b, keys, ["piece", "p1", "p2", "_s"], F.col("_cuts"), "p3"), keys))
+    c = cut(_numbered(S.cut_rows(b, [*keys, "piece", "p1", "p2", "_s"], "p3", run_ons, "_marked", ["new_breaks"]), keys))
 
     # fragments: merged into the cue before where the model says so
     first, last = F.get("w", F.lit(0)), F.element_at("w", -1)
@@ -138,12 +137,8 @@ def segment_with_model(words: DataFrame, make: Callable[[], Backend], keys: list
     c = c.groupBy(*keys, "to").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seg_no", "w"))), lambda x: x.w)).alias("w"), F.max("_s").alias("_s"))
 
     # what is still too long is cut anyway
-    words_of = F.transform("w", lambda x: x.text)
-    c = c.withColumn("_t", F.when(F.col("_s") & S.array_over(F.col("w"), False), words_of).otherwise(F.array().cast("array<string>")))
-    c = S.cut_arrays(c, "_t", "_cuts", lambda w: S.emergency_cuts(w, min_words=min_words))
-    c = S._exploded(c, keys, ["to"], F.col("_cuts"), "p4")
-    first, last = F.get("w", F.lit(0)), F.element_at("w", -1)
-    c = c.select(*keys, first.pos.alias("ws"), (last.pos + 1).alias("we"), first.s_ms.alias("start_ms"), F.coalesce(last.e_ms, last.s_ms).alias("end_ms"), _text(F.col("w")).alias("text"))
+    c = c.withColumn("_s", F.col("_s") & S.array_over(F.col("w"), False))
+    c = S.cut_into_cues(c, keys, "w", "_s", lambda w, s, e: S.emergency_cuts(w, min_words=min_words))
     return dense(cut(c.where(F.col("text") != "")), keys, "ws", "seg_no").select(*keys, "seg_no", "ws", "we", "start_ms", "end_ms", "text")
 
 
